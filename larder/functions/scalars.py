@@ -56,6 +56,13 @@ def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part * F.lit(100.0), whole)
 
 
+def pearson(a: str, b: str) -> str:
+    """Aggregate expression for the correlation of two columns; null if either is constant, where ``corr`` fails."""
+    both = f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL"
+    x, y = f"CASE WHEN {both} THEN CAST(`{a}` AS DOUBLE) END", f"CASE WHEN {both} THEN CAST(`{b}` AS DOUBLE) END"
+    return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
+
+
 def sales_per_transaction(sales: Column, transactions: Column) -> Column:
     return sales / (transactions + F.lit(1))
 

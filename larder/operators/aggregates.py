@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from larder.functions.calendar import weekday_name
-from larder.functions.scalars import percent, ratio, text_to_boolean
+from larder.functions.scalars import pearson, percent, ratio, text_to_boolean
 from larder.operators.quantiles import exact_quantiles
 
 
@@ -165,14 +165,14 @@ def family_lift(sales: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def correlation(df: DataFrame, a, b, alias="correlation") -> DataFrame:
-    return df.agg(F.corr(a, b).alias(alias))
+    return df.agg(F.expr(pearson(a, b)).alias(alias))
 
 
 def correlation_matrix(df: DataFrame, columns) -> DataFrame:
     """All pairs of a short column list in one aggregate, in long form."""
     columns = list(columns)
     row = df.agg(
-        *[F.corr(a, b).alias(f"{a}|{b}") for i, a in enumerate(columns) for b in columns[i + 1 :]],
+        *[F.expr(pearson(a, b)).alias(f"{a}|{b}") for i, a in enumerate(columns) for b in columns[i + 1 :]],
         F.lit(1.0).alias("_one"),
     )
     cells = []
@@ -186,7 +186,7 @@ def correlation_matrix(df: DataFrame, columns) -> DataFrame:
 
 def rank_by_correlation(df: DataFrame, target, features) -> DataFrame:
     """Features by absolute correlation with the target."""
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in features])
+    row = df.agg(*[F.expr(pearson(c, target)).alias(c) for c in features])
     return row.unpivot([], list(features), "feature", "correlation").withColumn(
         "abs_correlation", F.abs("correlation")
     ).orderBy(F.desc_nulls_last("abs_correlation"), "feature")

@@ -21,10 +21,10 @@ def exact_quantiles(df: DataFrame, value, probabilities, by=(), names=None) -> D
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
-    edges = counts.agg(F.percentile_approx("_v", [i / SPLITS for i in range(1, SPLITS)], 10000)).scalar()
-    ranged = counts.withColumn(
-        "_range", F.array_position(F.sort_array(F.array_append(F.coalesce(edges, F.array().cast("array<double>")), F.col("_v"))), F.col("_v"))
-    )
+    steps = ", ".join(f"{i / SPLITS}D" for i in range(1, SPLITS))
+    edges = counts.agg(F.expr(f"coalesce(percentile_approx(_v, array({steps}), 10000), CAST(array() AS ARRAY<DOUBLE>))")).scalar()
+    # Position among the sorted edges: equal values share it, and larger values never come before.
+    ranged = counts.withColumn("_range", F.array_position(F.sort_array(F.array_append(edges, F.col("_v"))), F.col("_v")))
     totals = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_m"))
     groups = Window.partitionBy(*by)
     upto = groups.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -34,30 +34,19 @@ def exact_quantiles(df: DataFrame, value, probabilities, by=(), names=None) -> D
         F.coalesce(F.sum("_m").over(upto), F.lit(0)).alias("_before"),
         F.sum("_m").over(groups).alias("_total"),
     )
-    match = F.col("_range") == F.col("_r")
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    match = " AND ".join(["_range = _r", *[f"`{c}` <=> `_by_{c}`" for c in by]])
     inside = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        ranged.withColumn("_cum", F.sum("_n").over(inside))
-        .join(offsets, match)
-        .withColumn("_last", F.col("_before") + F.col("_cum"))
-        .withColumn("_first", F.col("_last") - F.col("_n"))
-    )
+    ranked = ranged.withColumn("_cum", F.sum("_n").over(inside)).join(offsets, F.expr(match))
     picks = []
     for i, p in enumerate(probabilities):
-        position = F.lit(float(p)) * (F.col("_total") - 1)
-        low, high = F.floor(position), F.ceil(position)
-        for side, at in (("lo", low), ("hi", high)):
-            picks.append(
-                F.max(F.when((F.col("_first") <= at) & (at < F.col("_last")), F.col("_v"))).alias(f"_{side}{i}")
-            )
+        for side, rank in (("lo", f"floor({p!r}D * (_total - 1))"), ("hi", f"ceil({p!r}D * (_total - 1))")):
+            here = f"_before + _cum - _n <= {rank} AND {rank} < _before + _cum"
+            picks.append(F.expr(f"max(CASE WHEN {here} THEN _v END) AS _{side}{i}"))
     summary = ranked.groupBy(*by).agg(F.max("_total").alias("_total"), *picks)
-    out = []
-    for i, (p, name) in enumerate(zip(probabilities, names)):
-        position = F.lit(float(p)) * (F.col("_total") - 1)
-        part = position - F.floor(position)
-        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part).alias(name))
+    out = [
+        F.expr(f"_lo{i} + (_hi{i} - _lo{i}) * ({p!r}D * (_total - 1) - floor({p!r}D * (_total - 1)))").alias(name)
+        for i, (p, name) in enumerate(zip(probabilities, names))
+    ]
     return summary.select(*by, *out)
 
 

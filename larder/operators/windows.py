@@ -148,8 +148,11 @@ def fill_forward(df: DataFrame, value, order="date", keys=()) -> DataFrame:
 def rolling_correlation(df: DataFrame, a, b, n=60, keys=(), order="date", alias="rolling_corr") -> DataFrame:
     frame = series(keys, order).rowsBetween(-(n - 1), 0)
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    full = F.count(F.when(both, 1)).over(frame) >= n
-    return df.withColumn(alias, F.when(full, F.corr(a, b).over(frame)))
+    x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+    # Not corr(): it raises on a constant frame.
+    spread = F.stddev_pop(x).over(frame) * F.stddev_pop(y).over(frame)
+    value = F.try_divide(F.covar_pop(x, y).over(frame), spread)
+    return df.withColumn(alias, F.when(F.count(F.when(both, 1)).over(frame) >= n, value))
 
 
 def group_totals(df: DataFrame, value, by=KEYS, prefix=None) -> DataFrame:

@@ -323,7 +323,9 @@ def family_lift(fx):
 )
 def correlations(fx):
     frame = daily_frame(fx)
-    out = frame.agg(F.corr("dcoilwtico", "total_sales").alias("oil_sales"), F.corr("transactions", "total_sales").alias("transactions_sales"))
+    out = ag.correlation(frame, "dcoilwtico", "total_sales", "oil_sales").withColumn(
+        "transactions_sales", ag.correlation(frame, "transactions", "total_sales").scalar()
+    )
     return f32(out, "oil_sales", "transactions_sales")
 
 

@@ -38,29 +38,29 @@ class Fixture:
     def tables(self):
         return adapters.retail_tables(self.spark, self.folder)
 
-    @property
+    @cached_property
     def train(self):
-        return self.tables["train"]
+        return adapters.train(self.spark, self.folder)
 
-    @property
+    @cached_property
     def stores(self):
-        return self.tables["stores"]
+        return adapters.stores(self.spark, self.folder)
 
-    @property
+    @cached_property
     def items(self):
-        return self.tables["items"]
+        return adapters.items(self.spark, self.folder)
 
-    @property
+    @cached_property
     def oil(self):
-        return self.tables["oil"]
+        return adapters.oil(self.spark, self.folder)
 
-    @property
+    @cached_property
     def transactions(self):
-        return self.tables["transactions"]
+        return adapters.transactions(self.spark, self.folder)
 
-    @property
+    @cached_property
     def holidays(self):
-        return self.tables["holidays_events"]
+        return adapters.holidays(self.spark, self.folder)
 
     @cached_property
     def oil_days(self):

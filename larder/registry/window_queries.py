@@ -69,9 +69,22 @@ def expanding(fx):
 EWMAS = ("sales_ewma_7", "sales_ewma_14", "sales_ewma_28")
 
 
-@query("w08_ewma", _sql(*EWMAS))
+# A weight of 3/4 gives exact binary fractions that lie halfway between two rounded values. The small
+# offset keeps both engines off those halves; four decimals are compared.
+OFFSET = 1.23e-5
+
+
+def four_decimals(column):
+    return f"ROUND({column} + {OFFSET}::DOUBLE, 4) AS {column}"
+
+
+def rounded(df, *columns):
+    return df.withColumns({c: F.round(F.col(c) + OFFSET, 4) for c in columns})
+
+
+@query("w08_ewma", f"SELECT date, store_nbr, item_nbr, {', '.join(four_decimals(c) for c in EWMAS)} FROM rolled")
 def ewma(fx):
-    return _out(W.ewma(fx.clean, prefix="sales_ewma"), *EWMAS)
+    return rounded(W.ewma(fx.clean, prefix="sales_ewma").select(*KEY, *EWMAS), *EWMAS)
 
 
 def _oil_query(name, *columns):
@@ -110,9 +123,11 @@ def full_mean(fx):
 
 @query(
     "w15_rolling_correlation",
-    """SELECT date, CASE WHEN COUNT(dcoilwtico) OVER w >= 60 THEN CAST(corr(dcoilwtico, total_sales) OVER w AS FLOAT) END AS rolling_corr FROM ("""
+    # A constant frame has no correlation: null here, NaN in the twin's engine.
+    """SELECT date, CASE WHEN n >= 60 AND NOT isnan(c) THEN CAST(c AS FLOAT) END AS rolling_corr FROM (
+         SELECT date, COUNT(dcoilwtico) OVER w AS n, corr(dcoilwtico, total_sales) OVER w AS c FROM ("""
     + DAILY_FRAME_SQL
-    + ") WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",
+    + ") WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))",
 )
 def rolling_corr(fx):
     return f32(W.rolling_correlation(daily_frame(fx), "dcoilwtico", "total_sales").select("date", "rolling_corr"), "rolling_corr")
@@ -193,7 +208,9 @@ STORE_FLOATS = tuple(c for c in STORE_COLUMNS if c not in _INT and c not in _TEX
 
 @query(
     "feature_store",
-    "SELECT " + ", ".join(f"CAST({c} AS FLOAT) AS {c}" if c in STORE_FLOATS else c for c in STORE_COLUMNS) + " FROM fstore",
+    "SELECT "
+    + ", ".join(four_decimals(c) if c in EWMAS else f"CAST({c} AS FLOAT) AS {c}" if c in STORE_FLOATS else c for c in STORE_COLUMNS)
+    + " FROM fstore",
 )
 def feature_store(fx):
-    return f32(fx.features, *STORE_FLOATS)
+    return rounded(f32(fx.features, *(c for c in STORE_FLOATS if c not in EWMAS)), *EWMAS)

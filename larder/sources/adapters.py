@@ -6,117 +6,113 @@ else, so every series has at most one row per calendar day however hot a key is.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+@lru_cache(maxsize=256)
+def _schema(application: str, path: str):
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the folder; its schema is read from the files once per application."""
+    path = f"{folder}/{name}.parquet"
+    return spark.read.schema(_schema(spark.sparkContext.applicationId, path)).parquet(path)
 
 
-def _brand_number(brand):
-    return F.substring(brand, 7, 10).cast("int")
+BRAND_NUMBER = "CAST(substring(p_brand, 7) AS INT)"
 
 
 def stores(spark, folder) -> DataFrame:
-    kinds = F.array(*(F.lit(k) for k in "ABCDE"))
     return (
         table(spark, folder, "nation")
-        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            (F.col("n_nationkey") + 1).cast("int").alias("store_nbr"),
-            F.col("n_name").alias("city"),
-            F.col("r_name").alias("state"),
-            F.element_at(kinds, (F.col("n_nationkey") % 5 + 1).cast("int")).alias("type"),
-            (F.col("n_nationkey") % 17 + 1).cast("int").alias("cluster"),
+        .join(table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
+        .selectExpr(
+            "CAST(n_nationkey + 1 AS INT) AS store_nbr",
+            "n_name AS city",
+            "r_name AS state",
+            "elt(CAST(n_nationkey % 5 AS INT) + 1, 'A', 'B', 'C', 'D', 'E') AS type",
+            "CAST(n_nationkey % 17 + 1 AS INT) AS cluster",
         )
     )
 
 
 def items(spark, folder) -> DataFrame:
-    number = F.col("item_nbr")
     return (
         table(spark, folder, "part")
-        .select(_brand_number(F.col("p_brand")).alias("item_nbr"))
+        .selectExpr(f"{BRAND_NUMBER} AS item_nbr")
         .distinct()
-        .select(
-            number,
-            F.concat(F.lit("FAMILY_"), (number % 6).cast("string")).alias("family"),
-            (number % 10).alias("class"),
-            F.when(number % 3 == 0, 1).otherwise(0).alias("perishable"),
+        .selectExpr(
+            "item_nbr",
+            "concat('FAMILY_', item_nbr % 6) AS family",
+            "item_nbr % 10 AS class",
+            "CASE WHEN item_nbr % 3 = 0 THEN 1 ELSE 0 END AS perishable",
         )
     )
 
 
+def _supplier_stores(spark, folder, condition="true") -> DataFrame:
+    suppliers = table(spark, folder, "supplier").where(condition)
+    return suppliers.selectExpr("s_suppkey AS l_suppkey", "CAST(s_nationkey + 1 AS INT) AS store_nbr")
+
+
 def train(spark, folder) -> DataFrame:
     """One row per day, store and item; small dimensions are broadcast, so the sum is the only shuffle."""
-    quantity = F.when(
-        (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), -F.col("l_quantity")
-    ).otherwise(F.col("l_quantity"))
-    part = table(spark, folder, "part").select("p_partkey", _brand_number(F.col("p_brand")).alias("item_nbr"))
-    supplier = table(spark, folder, "supplier").select(
-        "s_suppkey", (F.col("s_nationkey") + 1).cast("int").alias("store_nbr")
-    )
+    parts = table(spark, folder, "part").selectExpr("p_partkey AS l_partkey", f"{BRAND_NUMBER} AS item_nbr")
     return (
         table(spark, folder, "lineitem")
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_shipdate").cast("date").alias("date"), "store_nbr", "item_nbr")
-        .agg(F.sum(quantity).alias("unit_sales"), F.max("l_discount").alias("discount"))
-        .select(
+        .join(_supplier_stores(spark, folder), "l_suppkey")
+        .join(parts, "l_partkey")
+        .groupBy(F.expr("CAST(l_shipdate AS DATE) AS date"), "store_nbr", "item_nbr")
+        .agg(
+            F.expr(
+                "SUM(CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN -l_quantity ELSE l_quantity END) AS unit_sales"
+            ),
+            F.expr("MAX(l_discount) AS discount"),
+        )
+        .selectExpr(
             "date",
             "store_nbr",
             "item_nbr",
             "unit_sales",
-            F.when(F.col("discount") >= 0.08, "True")
-            .when(F.col("discount") <= 0.01, F.lit(None).cast("string"))
-            .otherwise("False")
-            .alias("onpromotion"),
+            "CASE WHEN discount >= 0.08D THEN 'True' WHEN discount > 0.01D THEN 'False' END AS onpromotion",
         )
     )
 
 
 def oil(spark, folder) -> DataFrame:
     """Weekday prices; null on the 11th of a month."""
-    cents = (F.col("o_totalprice") * 100).cast("decimal(18,0)")
     return (
         table(spark, folder, "orders")
-        .where(F.dayofweek("o_orderdate").between(2, 6))
-        .groupBy(F.col("o_orderdate").cast("date").alias("date"))
-        .agg(F.sum(cents).cast("double").alias("cents"), F.count("*").alias("n"))
-        .select(
-            "date",
-            F.when(F.dayofmonth("date") != 11, F.col("cents") / 100 / F.col("n") / 5000).alias("dcoilwtico"),
-        )
+        .where("dayofweek(o_orderdate) BETWEEN 2 AND 6")
+        .groupBy(F.expr("CAST(o_orderdate AS DATE) AS date"))
+        .agg(F.expr("CAST(SUM(CAST(o_totalprice * 100 AS DECIMAL(18, 0))) AS DOUBLE) / 100 / COUNT(*) / 5000 AS price"))
+        .selectExpr("date", "CASE WHEN dayofmonth(date) <> 11 THEN price END AS dcoilwtico")
     )
 
 
 def transactions(spark, folder) -> DataFrame:
     """Distinct orders per store and day; store 8 has none."""
-    supplier = table(spark, folder, "supplier").where("s_nationkey <> 7").select(
-        "s_suppkey", (F.col("s_nationkey") + 1).cast("int").alias("store_nbr")
-    )
     return (
         table(spark, folder, "lineitem")
-        .select(F.col("l_shipdate").cast("date").alias("date"), "l_suppkey", "l_orderkey")
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("date", "store_nbr")
-        .agg(F.count_distinct("l_orderkey").alias("transactions"))
+        .join(_supplier_stores(spark, folder, "s_nationkey <> 7"), "l_suppkey")
+        .groupBy(F.expr("CAST(l_shipdate AS DATE) AS date"), "store_nbr")
+        .agg(F.expr("COUNT(DISTINCT l_orderkey) AS transactions"))
     )
 
 
 def holidays(spark, folder) -> DataFrame:
-    day = F.dayofmonth("date")
     return (
         table(spark, folder, "orders")
-        .select(F.col("o_orderdate").cast("date").alias("date"))
+        .selectExpr("CAST(o_orderdate AS DATE) AS date")
+        .where("dayofmonth(date) IN (1, 12, 24, 26)")
         .distinct()
-        .where(day.isin(1, 12, 24, 26))
-        .select(
+        .selectExpr(
             "date",
-            F.when(day == 1, "Holiday").when(day == 12, "Transfer").when(day == 24, "Event").otherwise("Bridge").alias(
-                "type"
-            ),
-            ((day == 1) & (F.month("date") % 4 == 0)).alias("transferred"),
+            "CASE dayofmonth(date) WHEN 1 THEN 'Holiday' WHEN 12 THEN 'Transfer' WHEN 24 THEN 'Event' ELSE 'Bridge' END AS type",
+            "dayofmonth(date) = 1 AND month(date) % 4 = 0 AS transferred",
         )
     )
 

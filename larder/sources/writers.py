@@ -103,15 +103,14 @@ def csv_to_parquet(spark, name, csv_path, parquet_path, schema=None, force=False
             parquet_path
         )
     table = spark.read.parquet(parquet_path)
-    csv_size, parquet_size = _bytes(spark, csv_path).scalar(), _bytes(spark, parquet_path).scalar()
-    return table.agg(F.count("*").alias("n_rows")).select(
-        F.lit(name).alias("table_name"),
-        F.lit("skipped" if skipped else "converted").alias("action"),
-        "n_rows",
-        F.lit(len(table.columns)).alias("n_columns"),
-        csv_size.alias("csv_bytes"),
-        parquet_size.alias("parquet_bytes"),
-        F.try_divide(csv_size, parquet_size).alias("compression_ratio"),
+    n_rows = table.count()
+    csv_bytes, parquet_bytes = (_bytes(spark, path).first()["bytes"] for path in (csv_path, parquet_path))
+    action = "skipped" if skipped else "converted"
+    ratio = csv_bytes / parquet_bytes if parquet_bytes else None
+    # One row of figures of this moment: a later conversion may replace the files.
+    return spark.createDataFrame(
+        [(name, action, n_rows, len(table.columns), csv_bytes, parquet_bytes, ratio)],
+        "table_name STRING, action STRING, n_rows BIGINT, n_columns INT, csv_bytes BIGINT, parquet_bytes BIGINT, compression_ratio DOUBLE",
     )
 
 

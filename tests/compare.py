@@ -40,6 +40,8 @@ def _rows(rows, order):
 
 def compare(df, con, sql):
     """None when equal, else what differs."""
+    found = df.collect()
+    compare.spark_done = time.time()
     result = con.execute(sql)
     names, kinds = [d[0] for d in result.description], [str(d[1]) for d in result.description]
     expected = result.fetchall()
@@ -47,7 +49,6 @@ def compare(df, con, sql):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
     found_kinds = {c: TYPES.get(k, k) for c, k in df.dtypes}
     wrong = {n: (found_kinds[n], k) for n, k in zip(names, kinds) if found_kinds[n] != k}
-    found = df.collect()
     order = sorted(names)
     left = _rows(found, [df.columns.index(c) for c in order])
     right = _rows(expected, [names.index(c) for c in order])
@@ -70,7 +71,7 @@ def main():
     con = connect(folder)
     failed = 0
     for name in names:
-        started = time.time()
+        started = compare.spark_done = time.time()
         try:
             df = QUERIES[name](spark, folder)
             if name in ORACLES:
@@ -81,7 +82,7 @@ def main():
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         failed += problem is not None
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - started:.1f}s {problem or ''}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {compare.spark_done - started:.1f}s of {time.time() - started:.1f}s {problem or ''}", flush=True)
     print(f"{len(names) - failed} of {len(names)} good")
 
 
