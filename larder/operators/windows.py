@@ -67,49 +67,51 @@ def expanding(df: DataFrame, value="unit_sales", keys=KEYS, order="date", prefix
     )
 
 
+def _block_length(spans) -> int | None:
+    """Rows per block for which every span's oldest weight is negligible and its inverse is finite."""
+    rates = [-math.log(1 - 2 / (span + 1)) for span in spans]
+    length = int(600 / max(rates))
+    return length if length >= 45 / min(rates) else None
+
+
 def ewma(df: DataFrame, spans=(7, 14, 28), value="unit_sales", keys=KEYS, order="date", prefix=None) -> DataFrame:
     """Exponentially weighted mean of earlier values: e1 = x1, e(t) = a x(t) + (1-a) e(t-1), a = 2/(span+1).
 
-    Rows are numbered and cut into blocks. Inside a block the recurrence is a running sum of
-    rescaled values; the state at the block's start is a short sum over the ends of the blocks before it,
-    whose weights fall below double precision after a few blocks. No array holds a series and no
-    Python runs. Values must not be null.
+    With q = 1-a the mean is q^t times a running sum of x(i) q^-i. To keep the powers finite on
+    any length of series, rows are cut into long blocks; a block starts from the last value of the
+    block before, and what lies further back weighs less than double precision. No array holds a series
+    and no Python runs. Values must not be null.
     """
-    w = series(keys, order)
     prefix = prefix or f"{value}_ewma"
-    out = df.withColumn("_row", F.row_number().over(w) - 1)
-    plan = {}
-    for span in spans:
+    plain = [s for s in spans if s <= 1]
+    spans_left = [s for s in spans if s > 1]
+    out = df.withColumns({f"{prefix}_{s}": F.lag(value).over(series(keys, order)) for s in plain})
+    if not spans_left:
+        return out
+    block = _block_length(spans_left)
+    if block is None:
+        for span in spans_left:
+            out = ewma(out, (span,), value, keys, order, prefix)
+        return out
+    w = series(keys, order)
+    out = out.withColumns({"_row": F.row_number().over(w) - 2, "_before": F.lag(value).over(w)})
+    out = out.withColumns({"_block": F.floor(F.col("_row") / block), "_place": F.pmod(F.col("_row"), F.lit(block))})
+    # The block grows with the order column, so one sort serves the whole series and its blocks.
+    whole = Window.partitionBy(*keys).orderBy("_block", order)
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local, carry = {}, {}
+    for span in spans_left:
+        q = 1 - 2 / (span + 1)
+        scaled = F.expr(f"CASE WHEN _row = 0 THEN _before ELSE {1 - q!r}D * _before * pow({1 / q!r}D, _place) END")
+        local[f"_local_{span}"] = F.sum(scaled).over(inside) * F.expr(f"pow({q!r}D, _place)")
+        carry[f"_carry_{span}"] = F.when((F.col("_place") == 0) & (F.col("_row") > 0), F.lag(f"_local_{span}").over(whole))
+    out = out.withColumns(local).withColumns(carry)
+    out = out.withColumns({c: F.first(c).over(inside) for c in carry})
+    for span in spans_left:
         q = 1 - 2 / (span + 1)
-        if q > 0:
-            block = max(1, min(64, int(27 / -math.log(q))))
-            plan[span] = (q, block, math.ceil(42 / (-math.log(q) * block)))
-    for span, (q, block, _) in plan.items():
-        place = F.col("_row") % block
-        weight = F.when(F.col("_row") == 0, 1.0).otherwise(1 - q)
-        inside = Window.partitionBy(*keys, F.floor(F.col("_row") / block)).orderBy(order)
-        scaled = weight * F.col(value) * F.pow(F.lit(1 / q), place)
-        out = out.withColumn(
-            f"_local_{span}",
-            F.sum(scaled).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(q), place),
-        )
-    for span, (q, block, depth) in plan.items():
-        carry = sum(
-            F.coalesce(F.lag(f"_local_{span}", 1 + block * k).over(w), F.lit(0.0)) * (q ** (block * k))
-            for k in range(depth)
-        )
-        out = out.withColumn(f"_carry_{span}", F.when(F.col("_row") % block == 0, carry))
-    for span, (q, block, _) in plan.items():
-        inside = Window.partitionBy(*keys, F.floor(F.col("_row") / block)).orderBy(order)
-        start = F.first(f"_carry_{span}").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn(
-            f"_state_{span}", F.col(f"_local_{span}") + start * F.pow(F.lit(q), F.col("_row") % block + 1)
-        )
-    for span in spans:
-        state = f"_state_{span}" if span in plan else value
-        out = out.withColumn(f"{prefix}_{span}", F.lag(state, 1).over(w))
-    helpers = [c for span in plan for c in (f"_local_{span}", f"_carry_{span}", f"_state_{span}")]
-    return out.drop("_row", *helpers)
+        state = f"_local_{span} + coalesce(_carry_{span}, 0D) * pow({q!r}D, _place + 1)"
+        out = out.withColumn(f"{prefix}_{span}", F.expr(state))
+    return out.drop("_row", "_before", "_block", "_place", *local, *carry)
 
 
 def trailing_mean(df: DataFrame, value, sizes, keys=(), order="date", current=True, full=False, prefix=None):

@@ -214,7 +214,14 @@ SHARED_SQL = {
                CASE WHEN date BETWEEN DATE '1998-04-16' AND DATE '1998-05-16' THEN 1 ELSE 0 END AS is_earthquake_period,
                holiday_type AS holiday_type_encoded
         FROM clean""",
-    "rolled": """
+    "smoothed": """
+        SELECT store_nbr, item_nbr, unnest(ds) AS date, unnest(e7) AS e7, unnest(e14) AS e14, unnest(e28) AS e28
+        FROM (SELECT store_nbr, item_nbr, list(date ORDER BY date) AS ds,
+                     list_reduce(list([unit_sales] ORDER BY date), lambda a, x : list_append(a, 0.75::DOUBLE * a[-1] + 0.25::DOUBLE * x[1])) AS e7,
+                     list_reduce(list([unit_sales] ORDER BY date), lambda a, x : list_append(a, (13::DOUBLE / 15) * a[-1] + (2::DOUBLE / 15) * x[1])) AS e14,
+                     list_reduce(list([unit_sales] ORDER BY date), lambda a, x : list_append(a, (27::DOUBLE / 29) * a[-1] + (2::DOUBLE / 29) * x[1])) AS e28
+              FROM clean GROUP BY store_nbr, item_nbr)""",
+    "windowed": """
         SELECT *,
                lag(unit_sales, 1) OVER w AS sales_lag_1, lag(unit_sales, 2) OVER w AS sales_lag_2,
                lag(unit_sales, 3) OVER w AS sales_lag_3, lag(unit_sales, 7) OVER w AS sales_lag_7,
@@ -231,14 +238,11 @@ SHARED_SQL = {
                MAX(unit_sales) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS sales_roll_max_7,
                MEDIAN(unit_sales) OVER (w ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS sales_roll_median_14,
                AVG(unit_sales) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sales_expanding_mean,
-               STDDEV_SAMP(unit_sales) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sales_expanding_std,
-               list_reduce(list(unit_sales) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-                           lambda a, x : 0.75::DOUBLE * a + 0.25::DOUBLE * x) AS sales_ewma_7,
-               list_reduce(list(unit_sales) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-                           lambda a, x : (13::DOUBLE / 15) * a + (2::DOUBLE / 15) * x) AS sales_ewma_14,
-               list_reduce(list(unit_sales) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-                           lambda a, x : (27::DOUBLE / 29) * a + (2::DOUBLE / 29) * x) AS sales_ewma_28
+               STDDEV_SAMP(unit_sales) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sales_expanding_std
         FROM dated WINDOW w AS (PARTITION BY store_nbr, item_nbr ORDER BY date)""",
+    "rolled": """
+        SELECT windowed.*, lag(e7) OVER w AS sales_ewma_7, lag(e14) OVER w AS sales_ewma_14, lag(e28) OVER w AS sales_ewma_28
+        FROM windowed JOIN smoothed USING (store_nbr, item_nbr, date) WINDOW w AS (PARTITION BY store_nbr, item_nbr ORDER BY date)""",
     "oil_feats": """
         SELECT date, AVG(v) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS oil_roll_mean_7,
                AVG(v) OVER (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS oil_roll_mean_30,
@@ -303,7 +307,7 @@ def oracle_text(body: str) -> str:
                 visit(SHARED_SQL[name])
 
     visit(own or body)
-    ctes = [f"{name} AS ({SHARED_SQL[name].strip()})" for name in SHARED_SQL if name in needed]
+    ctes = [f"{name} AS MATERIALIZED ({SHARED_SQL[name].strip()})" for name in SHARED_SQL if name in needed]
     if own:
         return "WITH " + ",\n".join([*ctes, own])
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
