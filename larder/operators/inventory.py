@@ -62,22 +62,24 @@ def horizon_demand(
     ``flat``: sum/16, at least 0.5; deviation a quarter of the demand.
     ``service``: as ``mean`` with a deviation of at least 0.1.
     """
+    # Whole ten-thousandths are summed: the total, and so every later ceiling, does not depend on the order of rows.
     total = forecast.groupBy(*keys).agg(
-        F.sum(value).alias("total_forecast_16d"),
-        F.avg(value).alias("_mean"),
+        F.expr(f"sum(CAST(round(`{value}` * 10000) AS BIGINT)) / 10000D AS total_forecast_16d"),
+        F.count(value).alias("_n"),
         F.stddev_samp(value).alias("_std"),
         *extra,
     )
+    mean = F.col("total_forecast_16d") / F.col("_n")
     daily = F.col("total_forecast_16d") / HORIZON_DAYS
     floored = F.greatest(F.lit(0.5), daily)
     choices = {
-        "mean": (F.col("_mean"), F.coalesce("_std", F.lit(0.0))),
+        "mean": (mean, F.coalesce("_std", F.lit(0.0))),
         "per_horizon": (floored, F.coalesce(F.col("_std"), daily * 0.25)),
         "flat": (floored, floored * 0.25),
-        "service": (F.col("_mean"), F.greatest(F.lit(0.1), F.coalesce("_std", F.lit(0.0)))),
+        "service": (mean, F.greatest(F.lit(0.1), F.coalesce("_std", F.lit(0.0)))),
     }
-    mean, deviation = choices[variant]
-    return total.withColumns({"daily_avg_demand": mean, "demand_std": deviation}).drop("_mean", "_std")
+    average, deviation = choices[variant]
+    return total.withColumns({"daily_avg_demand": average, "demand_std": deviation}).drop("_n", "_std")
 
 
 def stock_levels(demand: DataFrame, z=DEFAULT_Z, lead_days=7, review_days=7) -> DataFrame:

@@ -23,8 +23,10 @@ def exact_quantiles(df: DataFrame, value, probabilities, by=(), names=None) -> D
     )
     steps = ", ".join(f"{i / SPLITS}D" for i in range(1, SPLITS))
     edges = counts.agg(F.expr(f"coalesce(percentile_approx(_v, array({steps}), 10000), CAST(array() AS ARRAY<DOUBLE>))")).scalar()
-    # Position among the sorted edges: equal values share it, and larger values never come before.
-    ranged = counts.withColumn("_range", F.array_position(F.sort_array(F.array_append(edges, F.col("_v"))), F.col("_v")))
+    # Position among the sorted edges: equal values share it, and larger values never come before. It is never null,
+    # so the join below cannot push a null check on it down to the raw rows.
+    place = F.array_position(F.sort_array(F.array_append(edges, F.col("_v"))), F.col("_v"))
+    ranged = counts.withColumn("_range", F.coalesce(place, F.lit(0)))
     totals = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_m"))
     groups = Window.partitionBy(*by)
     upto = groups.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -120,6 +120,17 @@ def narrow_types(df: DataFrame) -> DataFrame:
     return cast_columns(df, kinds)
 
 
+def one_row_per_day(sales: DataFrame, keys=("date", "store_nbr", "item_nbr")) -> DataFrame:
+    """Combine duplicate records of a day, before any shuffle where possible.
+
+    Series windows need this: afterwards a series is no longer than its calendar, whatever share of the
+    raw rows one store or item holds.
+    """
+    return sales.groupBy(*keys).agg(
+        F.sum("unit_sales").alias("unit_sales"), F.max("onpromotion").alias("onpromotion")
+    )
+
+
 def densify(clean: DataFrame, keys=("store_nbr", "item_nbr")) -> DataFrame:
     """Insert zero-sales rows for the days missing inside each series' own span."""
     spans = clean.groupBy(*keys).agg(F.min("date").alias("_first"), F.max("date").alias("_last"))

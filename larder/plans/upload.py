@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from larder.functions.calendar import date_parts
 from larder.functions.scalars import first_number, to_date, to_number
@@ -52,12 +52,10 @@ def match_headers(df: DataFrame, words=HEADER_WORDS) -> DataFrame:
 
 
 def number_days(df: DataFrame, order, first_day=FIRST_DAY, date="date") -> DataFrame:
-    """Dates for a table that has none: the n-th row by ``order`` gets the n-th day.
+    """Dates for a table that has none: every row gets its own day, repeatably for a unique ``order``.
 
-    Rows are ranked inside key ranges; the rows before a range come from the range counts.
+    Rows are ranked inside hash buckets; the rows before a bucket come from the bucket counts.
     """
-    from pyspark.sql import Window
-
     keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(1024)))
     sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))

@@ -36,7 +36,8 @@ class Fixture:
 
     @cached_property
     def tables(self):
-        return adapters.retail_tables(self.spark, self.folder)
+        names = ("train", "stores", "items", "oil", "transactions")
+        return {**{name: getattr(self, name) for name in names}, "holidays_events": self.holidays}
 
     @cached_property
     def train(self):
@@ -70,9 +71,14 @@ class Fixture:
     def holiday_days(self):
         return holiday_days(self.holidays)
 
+    @cached_property
+    def written_train(self):
+        """The sales table as it is in a warehouse: written once, read by each of the passes of the clean build."""
+        return settle(self.train, "train")
+
     @cached_property
     def clean(self):
-        return build_clean(self.tables)
+        return build_clean({**self.tables, "train": self.written_train})
 
     @cached_property
     def written_clean(self):
@@ -85,7 +91,7 @@ class Fixture:
     @cached_property
     def start(self):
         """First date of the forecast horizon."""
-        return horizon_start(self.train, HORIZON)
+        return horizon_start(self.written_train, HORIZON)
 
     @cached_property
     def forecast(self):
@@ -184,7 +190,8 @@ SHARED_SQL = {
                unit_sales AS actual_sales
         FROM clean WHERE date >= (SELECT start FROM horizon)""",
     "demand": """
-        SELECT store_nbr, item_nbr, SUM(forecast_sales) AS total_forecast_16d, AVG(forecast_sales) AS daily_avg_demand,
+        SELECT store_nbr, item_nbr, CAST(SUM(CAST(ROUND(forecast_sales * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS total_forecast_16d,
+               CAST(SUM(CAST(ROUND(forecast_sales * 10000) AS BIGINT)) AS DOUBLE) / 10000 / COUNT(*) AS daily_avg_demand,
                COALESCE(STDDEV_SAMP(forecast_sales), 0) AS demand_std, SUM(actual_sales) AS actual_sales_16d,
                MAX(family) AS family
         FROM fc GROUP BY store_nbr, item_nbr""",

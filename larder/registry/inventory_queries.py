@@ -14,7 +14,7 @@ LEVELS = ("safety_stock", "reorder_point", "target_stock_level")
 
 
 def demand_query(name, variant, daily, deviation):
-    sql = f"""WITH g AS (SELECT store_nbr, item_nbr, SUM(forecast_sales) AS t, AVG(forecast_sales) AS m, STDDEV_SAMP(forecast_sales) AS s FROM fc GROUP BY 1, 2)
+    sql = f"""WITH g AS (SELECT store_nbr, item_nbr, CAST(SUM(CAST(ROUND(forecast_sales * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS t, AVG(forecast_sales) AS m, STDDEV_SAMP(forecast_sales) AS s FROM fc GROUP BY 1, 2)
               SELECT store_nbr, item_nbr, CAST(t AS FLOAT) AS total_forecast_16d, CAST({daily} AS FLOAT) AS daily_avg_demand,
                      CAST({deviation} AS FLOAT) AS demand_std FROM g"""
 
@@ -146,7 +146,7 @@ def thresholds(fx):
 UPLOAD_BASE = f"""
     WITH u AS ({UPLOAD_SQL}),
          p AS (SELECT *, ROUND(unit_sales * (1 + onpromotion * 0.35::DOUBLE), 2) AS f FROM u),
-         g AS (SELECT store_nbr, item_nbr, SUM(f) AS t, STDDEV_SAMP(f) AS s, arg_min(current_stock, date) AS current_stock FROM p GROUP BY 1, 2),
+         g AS (SELECT store_nbr, item_nbr, CAST(SUM(CAST(ROUND(f * 10000) AS BIGINT)) AS DOUBLE) / 10000 AS t, STDDEV_SAMP(f) AS s, arg_min(current_stock, date) AS current_stock FROM p GROUP BY 1, 2),
          d AS (SELECT *, GREATEST(0.5::DOUBLE, t / 16) AS da, COALESCE(s, t / 16 * 0.25::DOUBLE) AS sd FROM g),
          e AS (SELECT *, CAST(CEIL(1.65::DOUBLE * sd * SQRT(7)) AS BIGINT) AS safety_stock FROM d),
          h AS (SELECT *, CAST(CEIL(da * 7 + safety_stock) AS BIGINT) AS reorder_point FROM e),
@@ -186,7 +186,7 @@ def upload_trajectory(fx):
 @query(
     "i17_requested_skus",
     """WITH q AS (SELECT store_nbr, item_nbr, (store_nbr * 5 + item_nbr) AS current_stock FROM stores, items WHERE (store_nbr + item_nbr) % 3 = 0),
-            g AS (SELECT store_nbr, item_nbr, GREATEST(0.5::DOUBLE, SUM(forecast_sales) / 16) AS da FROM fc GROUP BY 1, 2),
+            g AS (SELECT store_nbr, item_nbr, GREATEST(0.5::DOUBLE, CAST(SUM(CAST(ROUND(forecast_sales * 10000) AS BIGINT)) AS DOUBLE) / 10000 / 16) AS da FROM fc GROUP BY 1, 2),
             d AS (SELECT q.*, da, GREATEST(0.1::DOUBLE, da * 0.25::DOUBLE) AS sd FROM q JOIN g USING (store_nbr, item_nbr)),
             e AS (SELECT *, CAST(CEIL(1.65::DOUBLE * sd * SQRT(7)) AS BIGINT) AS safety_stock FROM d),
             h AS (SELECT *, CAST(CEIL(da * 7 + safety_stock) AS BIGINT) AS reorder_point FROM e),

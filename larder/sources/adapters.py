@@ -122,13 +122,3 @@ def with_stock(demand: DataFrame, column="current_stock") -> DataFrame:
     share = (F.col("store_nbr") * 31 + F.col("item_nbr") * 17) % 301
     return demand.withColumn(column, F.floor(F.col("reorder_point") * share / 100).cast("bigint"))
 
-
-def retail_tables(spark, folder) -> dict[str, DataFrame]:
-    return {
-        "train": train(spark, folder),
-        "stores": stores(spark, folder),
-        "items": items(spark, folder),
-        "oil": oil(spark, folder),
-        "transactions": transactions(spark, folder),
-        "holidays_events": holidays(spark, folder),
-    }

@@ -280,7 +280,10 @@ def test_plan_pushes_filters_and_columns(spark):
 
 
 def test_series_windows_share_one_exchange(spark):
-    df = spark.range(1).select(F.current_date().alias("date"), F.lit(1).alias("store_nbr"), F.col("id").alias("item_nbr"), F.rand().alias("unit_sales"))
+    df = spark.range(0, 1000, 1, 4).select(
+        F.date_from_unix_date(F.col("id").cast("int")).alias("date"), (F.col("id") % 3).alias("store_nbr"),
+        (F.col("id") % 5).alias("item_nbr"), F.col("id").cast("double").alias("unit_sales"),
+    )
     from larder.plans.feature_store import rolling_features
 
     text = rolling_features(df)._jdf.queryExecution().executedPlan().toString()
