@@ -34,7 +34,7 @@ def test_query(spark, oracle, name):
 
 def test_every_query_has_a_twin_unless_it_fits_a_model():
     fits = {n for n in QUERIES if n not in ORACLES}
-    assert all(n.startswith("m") for n in fits) and len(fits) == 12
+    assert all(n.startswith("m") for n in fits) and len(fits) == 11
 
 
 def test_entry_is_ordered_by_priority(spark):
