@@ -236,7 +236,8 @@ def promo_ratio(clean: DataFrame, by, alias) -> DataFrame:
 def frequency_encoding(df: DataFrame, column, alias=None, weight=None) -> DataFrame:
     """Share of rows per value; ``weight`` names a row count when ``df`` is already grouped."""
     counts = df.groupBy(column).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
+    # A grouped input has one total for all its columns, which Spark computes once.
+    total = (df.agg(F.sum(weight)) if weight else counts.agg(F.sum("_n"))).scalar()
     return counts.select(column, (F.col("_n") / total).alias(alias or f"{column}_freq"))
 
 

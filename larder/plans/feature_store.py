@@ -65,15 +65,18 @@ def oil_features(clean: DataFrame) -> DataFrame:
     return out.drop("dcoilwtico")
 
 
-def transaction_features(clean: DataFrame) -> DataFrame:
-    """Per store and date: rolling means of earlier rows."""
-    daily = constant_per_key(clean, ("store_nbr", "date"), "transactions")
+def _trailing_transactions(daily: DataFrame) -> DataFrame:
     out = W.trailing_mean(
         daily, "transactions", (7, 28), keys=("store_nbr",), current=False, prefix="trans_roll_mean"
     )
     return out.drop("transactions")
 
 
+def transaction_features(clean: DataFrame) -> DataFrame:
+    """Per store and date: rolling means of earlier rows."""
+    return _trailing_transactions(constant_per_key(clean, ("store_nbr", "date"), "transactions"))
+
+
 def day_groups(clean: DataFrame) -> DataFrame:
     """One pass over the fact rows: what the oil, promotion, transaction and frequency columns need."""
     return clean.groupBy("date", "store_nbr", *ENCODED).agg(
@@ -84,18 +87,28 @@ def day_groups(clean: DataFrame) -> DataFrame:
     )
 
 
-def group_ratio(groups: DataFrame, by, alias) -> DataFrame:
-    share = F.sum("n_promo").cast("double") / F.sum("n_rows")
-    return groups.groupBy(*by).agg(share.alias(alias))
+def _promo_share(alias):
+    return (F.sum("n_promo").cast("double") / F.sum("n_rows")).alias(alias)
+
+
+def family_day_features(groups: DataFrame) -> DataFrame:
+    return groups.groupBy("date", "family").agg(_promo_share("family_promo_ratio"))
+
+
+def store_day_features(groups: DataFrame) -> DataFrame:
+    """Promotion share and trailing transactions per store and date, as one table for one join."""
+    daily = groups.groupBy("store_nbr", "date").agg(
+        _promo_share("store_promo_ratio"), F.max("transactions").alias("transactions")
+    )
+    return _trailing_transactions(daily)
 
 
 def add_dimension_features(df: DataFrame, groups: DataFrame) -> DataFrame:
     """Oil, promotion, transaction and frequency columns, joined from small aggregates of ``day_groups``."""
     out = (
         df.join(oil_features(groups), "date", "left")
-        .join(group_ratio(groups, ("date", "family"), "family_promo_ratio"), ["date", "family"], "left")
-        .join(group_ratio(groups, ("date", "store_nbr"), "store_promo_ratio"), ["date", "store_nbr"], "left")
-        .join(transaction_features(groups), ["date", "store_nbr"], "left")
+        .join(family_day_features(groups), ["date", "family"], "left")
+        .join(store_day_features(groups), ["date", "store_nbr"], "left")
     )
     for column in ENCODED:
         out = out.join(frequency_encoding(groups, column, weight="n_rows"), column, "left")

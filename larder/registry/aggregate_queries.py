@@ -9,6 +9,7 @@ from larder.operators.ranking import concat_frames
 from larder.plans.clean import sales_cap
 from larder.registry.base import f32, query
 from larder.registry.relational_queries import DAILY_FRAME_SQL, daily_frame
+from larder.session import settle
 
 KEY = ("date", "store_nbr", "item_nbr")
 
@@ -423,7 +424,8 @@ ENCODED = ("family", "city", "state", "type", "cluster", "class")
     ),
 )
 def encodings(fx):
-    counted = fx.clean.groupBy(*ENCODED).agg(F.count("*").alias("n"))
+    # One pass over the fact rows; the six encodings and their totals read its small result.
+    counted = settle(fx.clean.groupBy(*ENCODED).agg(F.count("*").alias("n")), "encodings")
     return concat_frames(
         [
             ag.frequency_encoding(counted, c, "frequency", weight="n").select(
