@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import packing, token_files
+from larder.llm import bpe, packing, token_files
 from larder.llm.common import table
 
 LLM_QUERIES: dict[str, callable] = {}
@@ -27,3 +27,8 @@ def op5(spark, sf_dir):
 @query("op6_packing")
 def op6(spark, sf_dir):
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
+@query("op1_bpe_round_trip")
+def op1(spark, sf_dir):
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
