@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, packing, token_files
+from larder.llm import bpe, ngram_join, packing, token_files
 from larder.llm.common import table
 
 LLM_QUERIES: dict[str, callable] = {}
@@ -32,3 +32,8 @@ def op6(spark, sf_dir):
 @query("op1_bpe_round_trip")
 def op1(spark, sf_dir):
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
