@@ -32,6 +32,14 @@ def held_out(key="doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == TRAINING_REMAINDER, F.lit(True))
 
 
+def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About ``rows`` whole rows chosen by a hash of ``keys``, or all of a smaller frame; neither sorts nor shuffles."""
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package, once per Spark application."""
     context = spark.sparkContext

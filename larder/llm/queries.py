@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, ngram_join, packing, token_files
+from larder.llm import bpe, embeddings, ngram_join, packing, token_files
 from larder.llm.common import table
 
 LLM_QUERIES: dict[str, callable] = {}
@@ -37,3 +37,8 @@ def op1(spark, sf_dir):
 @query("op3_ngram_jaccard_join")
 def op3(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op9_embedding_near_dedup")
+def op9(spark, sf_dir):
+    return embeddings.similar_vectors(table(spark, sf_dir, "embeddings"))

@@ -1,6 +1,6 @@
 """Token-id files: documents compressed one by one with a shared zstandard dictionary, readable one by one.
 
-The dictionary is trained on the id arrays of a bounded sample (``SAMPLE`` documents with the smallest hash); it only
+The dictionary is trained on the id arrays of a bounded sample (about ``SAMPLE`` documents chosen by hash); it only
 affects sizes, never content. Documents are range-partitioned by id and every task writes one shard.
 
 Shard layout, all little-endian: ``LZID0001`` | sha256 of the dictionary (32 bytes) | frames | index of
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import filesystem, map_arrow, partitions, texts
+from larder.llm.common import bounded_sample, filesystem, map_arrow, partitions, texts
 from larder.llm.packing import prefix_sums, tokenize
 from larder.llm.word_tokens import END_ID, encoder, vocabulary_path
 from larder.session import scratch_path, settle
@@ -56,7 +56,7 @@ def write_token_files(df: DataFrame, folder: str, path=None, end_id=END_ID) -> D
     """Write all documents below ``folder`` in ascending id order; returns the settled manifest, one row per shard."""
     path, tail = path or vocabulary_path(), np.array([end_id], "<u4").tobytes()
     source = df.select(F.col("doc_id").cast("long"), "text")
-    sample = source.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE)
+    sample = bounded_sample(source, SAMPLE, "doc_id", "text")
     fits = [bytes(r["ids"]) for r in tokenize(sample, path, end_id).select(F.expr("substring(ids, 1, 65536)").alias("ids")).collect()]
     dictionary = train_dictionary(fits)
     digest = hashlib.sha256(dictionary).digest()
