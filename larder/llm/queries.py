@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, embeddings, ngram_join, packing, token_files
+from larder.llm import bpe, embeddings, ngram_join, packing, token_files, url_filters
 from larder.llm.common import table
 
 LLM_QUERIES: dict[str, callable] = {}
@@ -42,3 +42,8 @@ def op3(spark, sf_dir):
 @query("op9_embedding_near_dedup")
 def op9(spark, sf_dir):
     return embeddings.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_url_filters", url_filters.ORACLE)
+def op10(spark, sf_dir):
+    return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_frame(spark))
