@@ -266,8 +266,8 @@ def round_trip_digests(df: DataFrame, path=None) -> DataFrame:
     def work(batches):
         for batch in batches:
             docs, found = batch.column("doc_id"), texts(batch)
-            for i in range(0, len(found), 5_000):
-                got = codec(path).round_trip(found[i : i + 5_000])
+            for i in range(0, len(found), 2_000):
+                got = codec(path).round_trip(found[i : i + 2_000])
                 yield {
                     "doc_id": docs.slice(i, len(got)), "n_tokens": [n for _, _, n in got],
                     "ids_sha256": [hashlib.sha256(ids).hexdigest() for ids, _, _ in got],

@@ -82,6 +82,32 @@ def texts(batch: pa.RecordBatch, name="text") -> list[str]:
     return [x if x is not None else "" for x in batch.column(name).to_pylist()]
 
 
+def pieces(batch: pa.RecordBatch, rows=500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, where the work on one row takes many times its size."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
+def bit_filter(wanted: DataFrame, key: str, bits=1 << 26):
+    """Broadcast table of ``bits`` bits, set where a hash of a wanted key falls; its size does not depend on the data."""
+    bit = f"pmod(xxhash64({key}), {bits})"
+    words = wanted.select(F.expr(f"shiftright({bit}, 5)").alias("word"), F.expr(f"shiftleft(1L, CAST(pmod({bit}, 32) AS INT))").alias("bits"))
+    filled = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most bits / 32 rows
+    table = np.zeros(bits // 32, np.uint32)
+    table[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).astype(np.uint32)
+    return wanted.sparkSession.sparkContext.broadcast(table)
+
+
+def passes(shared, bit: pa.Array) -> np.ndarray:
+    """Rows whose ``bit`` (``bit_of``) is set in a ``bit_filter``: all wanted ones, and few others while it is sparse."""
+    at = bit.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.flatnonzero((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
+
+
+def bit_of(key: str, bits=1 << 26):
+    return F.pmod(F.xxhash64(key), F.lit(bits))
+
+
 def blob(parts: list) -> pa.Array:
     return pa.array(parts, type=pa.binary())
 

@@ -24,14 +24,13 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import connected_components, map_arrow, partitions, texts
+from larder.llm.common import bit_filter, bit_of, connected_components, map_arrow, partitions, passes, pieces, texts
 from larder.llm.shingles import shingle_sets
 from larder.session import settle
 
 BLOCK = 1024
 MOST_FREQUENT = 1 << 20
 FREQUENT = 64
-FILTER_BITS = 1 << 26
 COLUMNS = 4096
 
 
@@ -66,7 +65,7 @@ def scan(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n, digest, low) per row: set size, digest of the set, and its first n-grams by hash."""
 
     def work(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             sets = shingle_sets(texts(batch), size)
             yield {
                 "doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "digest": [digest_of(s) for s in sets],
@@ -77,24 +76,15 @@ def scan(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def some_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, values) of the documents ``wanted`` (rep). A bit filter of fixed size spares most other documents the work."""
-    bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    words = wanted.select(F.shiftright(bit, 5).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(pmod(xxhash64(rep), {FILTER_BITS}), 32) AS INT))").alias("bits"))
-    filled = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most FILTER_BITS / 32 rows
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    table[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    """(rep, values) of the documents ``wanted`` (rep) and of few others; a bit filter of fixed size spares these the work."""
+    shared = bit_filter(wanted, "rep")
 
     def work(batches):
         for batch in batches:
-            at = batch.column("bit").to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = np.flatnonzero((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
-            part = batch.take(keep)
-            for i in range(0, len(keep), 1_000):
-                piece = part.slice(i, 1_000)
+            for piece in pieces(batch.take(passes(shared, batch.column("bit")))):
                 yield {"rep": piece.column("doc_id"), "values": [s.tobytes() for s in shingle_sets(texts(piece), size)]}
 
-    source = docs.where("doc_id IS NOT NULL").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    source = docs.where("doc_id IS NOT NULL").withColumn("bit", bit_of("doc_id"))
     return map_arrow(source, work, "rep LONG, values BINARY")
 
 
@@ -168,7 +158,7 @@ def prefix_entries(docs: DataFrame, frequent, size: int, percent: int) -> DataFr
     def work(batches):
         for batch in batches:
             grams, digests, sizes, seen = [], [], [], set()
-            for s in shingle_sets(texts(batch), size):
+            for s in (s for piece in pieces(batch) for s in shingle_sets(texts(piece), size)):
                 if len(s) and (digest := digest_of(s)) not in seen:
                     seen.add(digest)
                     head = in_order(s, frequent.value)[: prefix_length(len(s), percent)]
