@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, embeddings, ngram_join, packing, token_files, url_filters
+from larder.llm import bpe, embeddings, ngram_join, packing, suffix_dedup, token_files, url_filters
 from larder.llm.common import table
 
 LLM_QUERIES: dict[str, callable] = {}
@@ -47,3 +47,8 @@ def op9(spark, sf_dir):
 @query("op10_url_filters", url_filters.ORACLE)
 def op10(spark, sf_dir):
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_frame(spark))
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
