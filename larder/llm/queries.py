@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, embeddings, ngram_join, packing, suffix_dedup, token_files, url_filters
+from larder.llm import bpe, embeddings, language_id, ngram_join, packing, suffix_dedup, token_files, url_filters
 from larder.llm.common import table
 
 LLM_QUERIES: dict[str, callable] = {}
@@ -52,3 +52,8 @@ def op10(spark, sf_dir):
 @query("op7_suffix_dedup")
 def op7(spark, sf_dir):
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    return language_id.predictions(table(spark, sf_dir, "documents"))
