@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, embeddings, language_id, ngram_join, packing, suffix_dedup, token_files, url_filters
+from larder.llm import bpe, embeddings, language_id, ngram_join, packing, suffix_dedup, token_files, toxicity, url_filters
 from larder.llm.common import table
 
 LLM_QUERIES: dict[str, callable] = {}
@@ -57,3 +57,8 @@ def op7(spark, sf_dir):
 @query("op2_language_id")
 def op2(spark, sf_dir):
     return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -69,7 +69,7 @@ class WordTable:
             self._clear()
         new = list(words - self.raw.keys())
         plain = list(map(normal, new))
-        fresh = list(set(plain) - self.known.keys())
+        fresh = sorted(set(plain) - self.known.keys())
         if fresh:
             first = len(self.known)
             self.known.update(zip(fresh, range(first, first + len(fresh))))
