@@ -64,6 +64,14 @@ def as_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for a function that yields a dict of columns for each batch."""
     ship_package(df.sparkSession)
@@ -77,6 +85,17 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, kind)
 
 
+def keep_rows(df: DataFrame, decide: Callable[[list[str]], np.ndarray], rows=1_000) -> DataFrame:
+    """The rows of ``df`` whose texts ``decide`` says to keep, with all their columns as they are."""
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        for batch in (piece for whole in batches for piece in pieces(whole, rows)):
+            yield batch.filter(pa.array(np.asarray(decide(texts(batch)), bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def texts(batch: pa.RecordBatch, name="text") -> list[str]:
     """The texts of a batch; null becomes empty."""
     return [x if x is not None else "" for x in batch.column(name).to_pylist()]

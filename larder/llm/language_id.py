@@ -17,11 +17,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import held_out, map_arrow, pieces, texts
+from larder.llm.common import held_out, keep_rows, map_arrow, pieces, texts
 from larder.llm.word_table import WordTable, ngrams, normal, per_word, word_buckets
 
 UNDETERMINED = "und"
 PER_LANGUAGE = 400
+LEAST = 0.4  # score below which a filter takes a text to have no main language
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 LEXICON = 1_000
@@ -205,16 +206,34 @@ def document_languages(model: Crf, batch: list[str], table: WordTable) -> tuple[
     return [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), found.tolist())], np.clip(score, 0, 1)
 
 
+def word_table(shared):
+    """The broadcast model and this process's word table for it."""
+    model = shared.value
+    if _TABLES.get("model") is not model:
+        _TABLES.update(model=model, table=WordTable(model.evidence, len(model.languages)))
+    return model, _TABLES["table"]
+
+
+def keep_identified(df: DataFrame, model: Crf, least=LEAST) -> DataFrame:
+    """The rows of ``df`` whose text has a language with a score of ``least`` or more."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def decide(batch):
+        model, table = word_table(shared)
+        names, scores = document_languages(model, batch, table)
+        return (np.array(names, object) != UNDETERMINED) & (np.asarray(scores) >= least)
+
+    return keep_rows(df, decide)
+
+
 def identify(df: DataFrame, model: Crf) -> DataFrame:
     """(doc_id, lang_pred, score) per row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        model = shared.value
-        if _TABLES.get("model") is not model:
-            _TABLES.update(model=model, table=WordTable(model.evidence, len(model.languages)))
+        model, table = word_table(shared)
         for batch in (piece for whole in batches for piece in pieces(whole, 2_000)):
-            names, scores = document_languages(model, texts(batch), _TABLES["table"])
+            names, scores = document_languages(model, texts(batch), table)
             yield {"doc_id": batch.column("doc_id"), "lang_pred": names, "score": scores}
 
     return map_arrow(df.select(F.col("doc_id").cast("long"), "text"), work, "doc_id LONG, lang_pred STRING, score DOUBLE")

@@ -24,7 +24,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import bit_filter, bit_of, connected_components, map_arrow, partitions, passes, pieces, texts
+from larder.llm.common import bit_filter, bit_of, connected_components, fresh_name, map_arrow, partitions, passes, pieces, texts
 from larder.llm.shingles import shingle_sets
 from larder.session import settle
 
@@ -280,3 +280,14 @@ def jaccard_components(df: DataFrame, size=4, percent=85) -> DataFrame:
     rows = low.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+
+
+def keep_one(df: DataFrame, size=5, percent=80) -> DataFrame:
+    """The rows of ``df`` that stay when each group of near-duplicates keeps its smallest id; rows without id stay."""
+    groups = settle(jaccard_components(df, size, percent), "groups")
+    name = fresh_name(df, "kept_id")
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    rows = df.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi")
+    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.unionByName(df.where("doc_id IS NULL"))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from larder.llm.anchors import GRAM, PIECE, WINDOW, runs
-from larder.llm.common import bit_filter, bit_of, map_arrow, partitions, passes
+from larder.llm.common import bit_filter, bit_of, fresh_name, map_arrow, partitions, passes
 from larder.llm.suffix_order import equal_windows
 from larder.session import settle
 
@@ -255,16 +255,34 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tupl
 
 
 def dedup_text(docs: DataFrame) -> DataFrame:
-    """(doc, kept BINARY, spans) of keyed documents that lose bytes."""
+    """(doc, kept BINARY, text, spans) of keyed documents that lose bytes; ``text`` lacks characters that a cut goes through."""
     spans = settle(repeated_spans(docs), "spans")
     text = fetch(docs, spans.select("doc")).dropDuplicates(["doc"])
 
     def work(batches):
         for batch in batches:
             got = [cut_out(text.encode(), [(s["start"], s["stop"]) for s in spans]) for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            yield {"doc": batch.column("doc"), "kept": [kept for kept, _ in got], "spans": [[{"start": a, "stop": b} for a, b in found] for _, found in got]}
+            left = [kept for kept, _ in got]
+            yield {"doc": batch.column("doc"), "kept": left, "text": [x.decode("utf-8", "ignore") for x in left], "spans": [[{"start": a, "stop": b} for a, b in found] for _, found in got]}
 
-    return map_arrow(spans.join(text, "doc").select("doc", "text", "spans"), work, "doc LONG, kept BINARY, spans ARRAY<STRUCT<start: LONG, stop: LONG>>")
+    return map_arrow(spans.join(text, "doc").select("doc", "text", "spans"), work, "doc LONG, kept BINARY, text STRING, spans ARRAY<STRUCT<start: LONG, stop: LONG>>")
+
+
+def keep_first(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` with what is left of their text (and its length in ``n_chars`` if there is such a column).
+
+    Characters that a cut goes through are dropped; rows that lose their whole text go, rows that had none stay.
+    """
+    docs = keyed(df)
+    text, ident, mark = (fresh_name(df, name) for name in ("kept_text", "kept_id", "kept_hash"))
+    lost = dedup_text(docs).select("doc", F.col("text").alias(text))
+    names = docs.select("doc", F.col("doc_id").alias(ident), F.xxhash64("text").alias(mark)).distinct()
+    lost = names.join(lost, "doc").drop("doc")
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = df.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (own == F.col(mark)), "left")
+    rows = rows.where(F.col(text).isNull() | (F.col(text) != ""))
+    new = F.coalesce(text, "text")
+    return rows.select(*(new.alias("text") if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in df.columns))
 
 
 def removal_digests(df: DataFrame) -> DataFrame:

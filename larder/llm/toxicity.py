@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import held_out, map_arrow, pieces, texts
+from larder.llm.common import held_out, keep_rows, map_arrow, pieces, texts
 from larder.llm.word_table import WordTable, ngrams, per_word, word_buckets
 
 THRESHOLD = 0.3
@@ -328,16 +328,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic=TOXIC, clean=CLEAN)
 _STATE: dict = {}
 
 
+def word_table(shared):
+    """The broadcast network and this process's word table for it."""
+    net = shared.value
+    if _STATE.get("net") is not net:
+        _STATE.update(net=net, table=WordTable(net.project, 6 * HIDDEN))
+    return net, _STATE["table"]
+
+
+def keep_clean(df: DataFrame, net: Network, threshold=THRESHOLD) -> DataFrame:
+    """The rows of ``df`` whose score is below ``threshold``."""
+    shared = df.sparkSession.sparkContext.broadcast(net)
+
+    def decide(batch):
+        net, table = word_table(shared)
+        return document_scores(net, batch, table) < threshold
+
+    return keep_rows(df, decide)
+
+
 def score(df: DataFrame, net: Network) -> DataFrame:
     """(doc_id, score) per row."""
     shared = df.sparkSession.sparkContext.broadcast(net)
 
     def work(batches):
-        net = shared.value
-        if _STATE.get("net") is not net:
-            _STATE.update(net=net, table=WordTable(net.project, 6 * HIDDEN))
+        net, table = word_table(shared)
         for batch in (piece for whole in batches for piece in pieces(whole, 1_000)):
-            yield {"doc_id": batch.column("doc_id"), "score": document_scores(net, texts(batch), _STATE["table"])}
+            yield {"doc_id": batch.column("doc_id"), "score": document_scores(net, texts(batch), table)}
 
     return map_arrow(df.select(F.col("doc_id").cast("long"), "text"), work, "doc_id LONG, score DOUBLE")
 
