@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, embeddings, language_id, ngram_join, packing, suffix_dedup, token_files, toxicity, url_filters
+from larder.llm import bpe, embeddings, language_id, ngram_join, packing, suffix_dedup, token_files, topk_search, toxicity, url_filters
 from larder.llm.common import table
 
 LLM_QUERIES: dict[str, callable] = {}
@@ -62,3 +62,9 @@ def op2(spark, sf_dir):
 @query("op8_toxicity")
 def op8(spark, sf_dir):
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_topk_search", topk_search.ORACLE)
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return topk_search.search(docs, docs.where("doc_id % 20 = 0"))
