@@ -45,7 +45,7 @@ class Crf:
         """N-gram buckets with their words, whole-word buckets, lexicon membership."""
         parts = ngrams(words, SIZES, BUCKETS)
         rows = [self.lexicon.get(w, -1) for w in words]
-        member = np.array([self.member[r] if r >= 0 else np.zeros(len(self.languages)) for r in rows], np.float32).reshape(len(words), -1)
+        member = np.array([self.member[r] if r >= 0 else np.zeros(len(self.languages)) for r in rows], np.float32).reshape(len(words), len(self.languages))
         return parts, word_buckets(words, BUCKETS), member
 
     def evidence(self, words: list[str]) -> np.ndarray:
@@ -74,7 +74,7 @@ def forward_backward(evidence: np.ndarray, transition: np.ndarray, counts: np.nd
     running, first, place, owner = packed(counts)
     n = evidence.shape[1]
     scaled = np.empty_like(evidence)
-    scaled[place] = np.exp(evidence - evidence.max(axis=1, keepdims=True, initial=-np.inf) if len(evidence) else evidence)
+    scaled[place] = np.exp(evidence - evidence.max(axis=1, keepdims=True)) if len(evidence) else evidence
     step_matrix = np.exp(transition - transition.max()).astype(evidence.dtype)
     alpha, beta = np.empty_like(scaled), np.ones_like(scaled)
     a = None
@@ -192,17 +192,18 @@ _TABLES: dict = {}
 
 
 def document_languages(model: Crf, batch: list[str], table: WordTable) -> tuple[list[str], list[float]]:
-    codes, counts = table.codes(batch)
     n = len(model.languages)
+    if not n:
+        return [UNDETERMINED] * len(batch), [0.0] * len(batch)
+    codes, counts = table.codes(batch)
     evidence = table.rows[codes]
     marginal = forward_backward(evidence, model.transition, counts)
     lettered = codes > 0
     owner = np.repeat(np.arange(len(batch)), counts)[lettered]
-    sums = np.stack([np.bincount(owner, marginal[lettered, k], len(batch)) for k in range(n)], 1) if n else np.zeros((len(batch), 0))
+    sums = np.stack([np.bincount(owner, marginal[lettered, k], len(batch)) for k in range(n)], 1)
     total = np.bincount(owner, minlength=len(batch))
-    best = sums.argmax(axis=1) if n else np.zeros(len(batch), int)
-    found = (total > 0) & (n > 0)
-    score = np.where(found, sums[np.arange(len(batch)), best] / np.maximum(total, 1), 0.0) if n else np.zeros(len(batch))
+    best, found = sums.argmax(axis=1), total > 0
+    score = np.where(found, sums[np.arange(len(batch)), best] / np.maximum(total, 1), 0.0)
     return [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), found.tolist())], np.clip(score, 0, 1)
 
 
