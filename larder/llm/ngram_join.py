@@ -1,13 +1,13 @@
 """Near-duplicate groups by exact Jaccard similarity of word n-grams: blocked sparse products of document by n-gram incidence.
 
 1. Documents with equal n-gram sets form a class; only class representatives (smallest id) are compared.
-2. First product: classes whose smallest n-gram hash agrees lie in one bucket. Buckets are cut into blocks of at most
-   ``BLOCK`` rows, each with the bucket's first and last row as pivots, and every block multiplies its incidence matrix
-   with its transpose. Only a spanning forest of the links found leaves the block. This collapses groups of copies.
+2. First product: classes whose smallest n-gram agrees, under one of ``ORDERS`` hash orders, lie in one bucket. Buckets are cut
+   into blocks of about ``BLOCK`` rows, and every pair of blocks multiplies the incidence matrix of its rows with its
+   transpose. Only a spanning forest of the links found leaves a task. This settles all pairs of a bucket, of any size.
 3. Second product, complete: two sets can only be similar enough if they share an n-gram among the first few of each in
    one global order (frequent n-grams last, then by hash). Blocks of n-grams accumulate how many of these each pair of rows
-   in different groups shares; pairs whose count cannot reach the bound that follows from their sizes are discarded; the
-   others are intersected exactly.
+   shares that lies in different groups and was in no common bucket; pairs whose count cannot reach the bound that
+   follows from their sizes are discarded; the others are intersected exactly.
 4. Links of both products go through connected components.
 
 Frequent n-grams are counted over all documents; at most ``MOST_FREQUENT`` are broadcast (the limit rises with the data, and
@@ -24,11 +24,12 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.common import bit_filter, bit_of, connected_components, fresh_name, map_arrow, partitions, passes, pieces, texts
+from larder.llm.common import bit_filter, bit_of, connected_components, fresh_name, map_arrow, mix, partitions, passes, pieces, texts
 from larder.llm.shingles import shingle_sets
 from larder.session import settle
 
-BLOCK = 1024
+BLOCK = 512
+ORDERS = 3
 MOST_FREQUENT = 1 << 20
 FREQUENT = 64
 COLUMNS = 4096
@@ -57,22 +58,29 @@ def in_order(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([values[~late], values[late]])
 
 
+def smallest(values: np.ndarray) -> list[int]:
+    """The smallest n-gram of a set under each order; the first order is the hash itself."""
+    seeds = np.arange(1, ORDERS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return [int(_signed(values[:1])[0]), *(int(_signed(mix(values ^ seed).min(keepdims=True))[0]) for seed in seeds)]
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
 def scan(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, low) per row: set size, digest of the set, and its first n-grams by hash."""
+    """(doc_id, n, digest, firsts, low) per row: set size, digest, smallest n-grams, and the first n-grams by hash."""
 
     def work(batches):
         for batch in (piece for whole in batches for piece in pieces(whole)):
             sets = shingle_sets(texts(batch), size)
             yield {
                 "doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "digest": [digest_of(s) for s in sets],
+                "firsts": [smallest(s) if len(s) else [] for s in sets],
                 "low": [_signed(s[: prefix_length(len(s), percent)]) if len(s) else [] for s in sets],
             }
 
-    return map_arrow(docs, work, "doc_id LONG, n LONG, digest LONG, low ARRAY<LONG>")
+    return map_arrow(docs, work, "doc_id LONG, n LONG, digest LONG, firsts ARRAY<LONG>, low ARRAY<LONG>")
 
 
 def some_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -122,14 +130,15 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def first_product(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between representatives that share their smallest n-gram."""
-    buckets = classes.groupBy("first").agg(F.count("*").alias("rows"), F.min("rep").alias("p"), F.max("rep").alias("q")).where("rows > 1")
-    placed = classes.join(buckets, "first").select("first", "rep", "p", "q", F.ceil(F.col("rows") / (BLOCK - 2)).cast("int").alias("blocks"))
-    own = placed.select("first", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
-    pivots = placed.where("blocks > 1 AND (rep = p OR rep = q)").select("first", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
-    placed = settle(own.union(pivots).distinct(), "placed")
+    """Links (a, b) between representatives that share a smallest n-gram."""
+    rows = classes.select("rep", F.posexplode("firsts").alias("order", "first"))
+    buckets = rows.groupBy("order", "first").agg(F.count("*").alias("rows")).where("rows > 1")
+    placed = rows.join(buckets, ["order", "first"]).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    block = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
+    placed = settle(placed.select("order", "first", block.alias("block"), "rep"), "placed")
     sets = some_sets(docs, placed.select("rep").distinct(), size)
-    rows = placed.join(sets, "rep").select("first", "block", "rep", "values")
+    rows = placed.join(sets, "rep").select(F.xxhash64("order", "first").alias("first"), "block", "rep", "values")
     rows = rows.repartition(partitions(docs.sparkSession), "first", "block").sortWithinPartitions("first", "block", "rep")
 
     def work(batches):
@@ -193,12 +202,13 @@ def shared_entries(entries: DataFrame) -> DataFrame:
 
 
 def partial_counts(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb, c): pairs of rows of different groups in a block of n-grams, and how many of these n-grams they share."""
+    """(a, b, na, nb, c): pairs not compared yet in a block of n-grams, and how many of these n-grams they share."""
 
     def work(batches):
-        gram, rep, group, n = _columns(batches, "grcn")
+        gram, rep, group, n, *firsts = _columns(batches, range(4 + ORDERS))
         order = np.lexsort((rep, n, gram))
         gram, rep, group, n = gram[order], rep[order], group[order], n[order]
+        firsts = np.stack([f[order] for f in firsts])
         starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
         end = np.repeat(np.append(starts[1:], len(gram)), np.diff(np.append(starts, len(gram)))) if len(gram) else starts
         # Within an n-gram rows are ordered by size: partners of i are those up to the largest size that can be similar.
@@ -214,12 +224,12 @@ def partial_counts(entries: DataFrame, percent: int) -> DataFrame:
             if not len(at):
                 break
             i, j = at, at + step
-            apart = group[i] != group[j]
+            apart = (group[i] != group[j]) & (firsts[:, i] != firsts[:, j]).all(axis=0)
             i, j = i[apart], j[apart]
             swap = rep[i] > rep[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             found.append(np.stack([rep[i], rep[j], n[i], n[j]], 1))
-            if sum(map(len, found)) > 2_000_000:
+            if sum(map(len, found)) > 500_000:
                 yield _counted(found)
                 found = []
         yield _counted(found)
@@ -243,8 +253,8 @@ def second_product(docs, low, classes, groups, size, percent) -> DataFrame:
     often = grams.groupBy("gram").count().where(F.col("count") >= least).select("gram").toPandas()["gram"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     entries = settle(shared_entries(prefix_entries(docs, frequent, size, percent)), "entries")
-    named = entries.join(classes.select("digest", "rep"), "digest").join(groups, F.col("rep") == F.col("node"), "left")
-    named = named.select("gram", "rep", F.coalesce("component", "rep").alias("group"), "n")
+    named = entries.join(classes.select("digest", "rep", "firsts"), "digest").join(groups, F.col("rep") == F.col("node"), "left")
+    named = named.select("gram", "rep", F.coalesce("component", "rep").alias("group"), "n", *(F.col("firsts")[i].alias(f"first{i}") for i in range(ORDERS)))
     pairs = partial_counts(named, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     rest = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * percent / 100) + 1)
     bound = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
@@ -270,7 +280,7 @@ def jaccard_components(df: DataFrame, size=4, percent=85) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row."""
     docs = df.select(F.col("doc_id").cast("long"), "text")
     low = settle(scan(docs, size, percent), "sets")
-    classes = low.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first(F.col("low")[0]).alias("first"))
+    classes = low.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("firsts").alias("firsts"))
     classes = settle(classes, "classes")
     links = first_product(docs, classes, size, percent)
     groups = settle(connected_components(links), "groups")
