@@ -77,9 +77,19 @@ def to_number(value: Column, default: float) -> Column:
     return F.coalesce(value.try_cast("double"), F.lit(float(default)))
 
 
+#: Accepted date layouts, tried in this order: shape of the text, and how to read it. Month goes before day.
+DATE_LAYOUTS = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"), (r"^\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"), (r"^\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"), (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}", "MMM d, yyyy"),
+)
+
+
 def to_date(value: Column) -> Column:
-    """Leading ``yyyy-MM-dd`` of a text as a date, null if there is none."""
-    return F.substring(value.cast("string"), 1, 10).try_cast("date")
+    """A text that begins with a date in one of ``DATE_LAYOUTS``; null if it does not."""
+    text = F.trim(value.cast("string"))
+    found = [F.try_to_date(F.nullif(F.regexp_extract(text, shape, 0), F.lit("")), layout) for shape, layout in DATE_LAYOUTS]
+    return F.coalesce(*found)
 
 
 def clean_header(text: Column) -> Column:

@@ -321,13 +321,15 @@ def scenarios(demand: DataFrame, cases, horizon=HORIZON_DAYS) -> DataFrame:
 def replenish_requests(requests: DataFrame, forecast: DataFrame, service_level=95.0, lead_days=7) -> DataFrame:
     """Levels and decisions for a table of requested SKUs (``store_nbr, item_nbr, current_stock``).
 
-    Demand is the forecast total over 16, at least 0.5; its deviation a quarter of that, at least 0.1.
+    Demand is the forecast total over 16, at least 0.5; its deviation a quarter of that, at least 0.1. A request without
+    forecast rows is answered with the least demand.
     """
     keys = ["store_nbr", "item_nbr"]
     wanted = forecast.join(requests.select(*keys).distinct(), keys, "left_semi")
-    demand = horizon_demand(wanted, "flat").withColumn("demand_std", F.greatest(F.lit(0.1), F.col("demand_std")))
-    levels = stock_levels(demand, service_z(F.lit(float(service_level))), lead_days)
-    return stock_decisions(requests.join(levels, keys))
+    asked = requests.join(horizon_demand(wanted, "flat"), keys, "left")
+    demand = asked.withColumn("daily_avg_demand", F.coalesce("daily_avg_demand", F.lit(0.5)))
+    demand = demand.withColumn("demand_std", F.greatest(F.lit(0.1), F.coalesce("demand_std", F.col("daily_avg_demand") * 0.25)))
+    return stock_decisions(stock_levels(demand, service_z(F.lit(float(service_level))), lead_days))
 
 
 def summary_row(inventory: DataFrame, lead_days=7, service_level="95%") -> DataFrame:

@@ -104,20 +104,18 @@ def importances(spark, model: PipelineModel, features) -> DataFrame:
 
 
 def predict(model: PipelineModel, df: DataFrame, features, keep=("date", "store_nbr", "item_nbr"), digits=2) -> DataFrame:
-    """Predict, clip at 0, back from logs, round. Columns the table lacks count as 0."""
-    aligned = align_columns(df.withColumn("_actual", F.col("unit_sales")), features, keep=(*_extra(keep, features), "_actual"))
+    """Predict, clip at 0, back from logs, round. Columns the table lacks count as 0; ``keep`` columns stay as they are."""
+    kept = {f"_keep_{c}": F.col(c) for c in keep}
+    aligned = align_columns(df.withColumns({**kept, "_actual": F.col("unit_sales")}), features, keep=(*kept, "_actual"))
     scored = model.transform(aligned)
     forecast = unlog_prediction(replace_non_finite(F.col(PREDICTION)))
     return scored.select(
-        *keep, (F.round(forecast, digits) if digits is not None else forecast).alias("forecast_sales"),
+        *(F.col(f"_keep_{c}").alias(c) for c in keep),
+        (F.round(forecast, digits) if digits is not None else forecast).alias("forecast_sales"),
         F.col("_actual").alias("actual_sales"),
     )
 
 
-def _extra(keep, features):
-    return [c for c in keep if c not in set(features)]
-
-
 def rule_forecast(df: DataFrame, lift=0.35, sales="unit_sales", promo="onpromotion") -> DataFrame:
     """The model-free forecast: sales, raised on promotion."""
     raised = F.col(sales) * (1 + F.col(promo).cast("double") * lift)

@@ -57,13 +57,18 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
 
 def quality_report(df: DataFrame) -> DataFrame:
-    """Per column: type, nulls, null percent, distinct values, infinities, constant flag. One pass over the table."""
+    """Per column: type, nulls, null percent, distinct values, infinities, constant flag.
+
+    Distinct values are counted exactly, one grouped pass per column over that column alone: a single aggregate with many distinct
+    counts would copy every row once per column. Pass a written table, not a long lazy plan.
+    """
     numeric = set(numeric_columns(df))
     aggregates = [F.count("*").alias("_rows")]
     for c in df.columns:
+        distinct = df.select(c).where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1)).agg(F.count("*"))
         aggregates += [
             _nulls(c).alias(f"{c}__null_count"),
-            F.count_distinct(F.col(c)).alias(f"{c}__unique_count"),
+            F.first(distinct.scalar()).alias(f"{c}__unique_count"),
             (F.coalesce(F.sum(F.when(is_infinite(F.col(c)), 1).otherwise(0)), F.lit(0)) if c in numeric else F.lit(0))
             .cast("bigint")
             .alias(f"{c}__inf_count"),

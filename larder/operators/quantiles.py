@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-SPLITS = 64
+
+def _splits(df: DataFrame) -> int:
+    """Value ranges per group: as many as the shuffle has partitions, so that their number grows with the cluster."""
+    return max(16, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def exact_quantiles(df: DataFrame, value, probabilities, by=(), names=None) -> DataFrame:
@@ -21,12 +24,19 @@ def exact_quantiles(df: DataFrame, value, probabilities, by=(), names=None) -> D
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
-    steps = ", ".join(f"{i / SPLITS}D" for i in range(1, SPLITS))
-    edges = counts.agg(F.expr(f"coalesce(percentile_approx(_v, array({steps}), 10000), CAST(array() AS ARRAY<DOUBLE>))")).scalar()
+    n = _splits(df)
+    steps = ", ".join(f"{i / n}D" for i in range(1, n))
+    cut = F.expr(f"coalesce(percentile_approx(_v, array({steps}), 10000), CAST(array() AS ARRAY<DOUBLE>))")
+    # Every group has edges of its own, so a group on another scale is cut as finely.
+    if by:
+        edges = counts.groupBy(*[F.col(c).alias(f"_edge_{c}") for c in by]).agg(cut.alias("_edges"))
+        counts = counts.join(edges, F.expr(" AND ".join(f"`{c}` <=> `_edge_{c}`" for c in by))).drop(*[f"_edge_{c}" for c in by])
+    else:
+        counts = counts.withColumn("_edges", counts.agg(cut).scalar())
     # Position among the sorted edges: equal values share it, and larger values never come before. It is never null,
     # so the join below cannot push a null check on it down to the raw rows.
-    place = F.array_position(F.sort_array(F.array_append(edges, F.col("_v"))), F.col("_v"))
-    ranged = counts.withColumn("_range", F.coalesce(place, F.lit(0)))
+    place = F.array_position(F.sort_array(F.array_append("_edges", F.col("_v"))), F.col("_v"))
+    ranged = counts.withColumn("_range", F.coalesce(place, F.lit(0))).drop("_edges")
     totals = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_m"))
     groups = Window.partitionBy(*by)
     upto = groups.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

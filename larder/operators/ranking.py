@@ -24,26 +24,25 @@ def newest_rows(df: DataFrame, n, order=("date", "store_nbr", "item_nbr"), newes
     """Exactly ``n`` rows, newest (or oldest) first column first, later columns break ties ascending.
 
     ``n`` may be large: instead of sorting rows, rows are counted per value of each order
-    column in turn to find the boundary, so that the result stays distributed.
+    column in turn to find the boundary, so that the result stays distributed. Nulls come last.
     The last order column must be unique within the others.
     """
-    keep, at_edge = None, F.lit(True)
+    keep, at_edge = F.lit(False), F.lit(True)
     left = F.lit(n)
     for position, column in enumerate(order):
         descending = newest and position == 0
         per_value = df.where(at_edge).groupBy(column).agg(F.count("*").alias("_rows"))
         running = Window.orderBy(*_ordering([column], descending)).rowsBetween(Window.unboundedPreceding, 0)
-        reached = per_value.withColumn("_upto", F.sum("_rows").over(running)).where(F.col("_upto") <= left)
-        pick = F.min(column) if descending else F.max(column)
-        last_whole = reached.agg(pick).scalar()
-        taken = reached.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
-        beyond = per_value.where(
-            F.coalesce(F.col(column) < last_whole if descending else F.col(column) > last_whole, F.lit(True))
-        )
-        edge = beyond.agg((F.max if descending else F.min)(column)).scalar()
-        whole = F.coalesce(F.col(column) >= last_whole if descending else F.col(column) <= last_whole, F.lit(False))
-        keep = (at_edge & whole) if keep is None else keep | (at_edge & whole)
-        at_edge = at_edge & F.coalesce(F.col(column) == edge, F.lit(False))
+        counted = per_value.withColumn("_upto", F.sum("_rows").over(running))
+        # The first value that does not fit whole is the edge; nulls come last and can be the edge too.
+        over = counted.where(F.col("_upto") > left)
+        edge = over.agg((F.max if descending else F.min)(column)).scalar()
+        some_over = over.agg(F.count("*") > 0).scalar()
+        taken = counted.where(F.col("_upto") <= left).agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
+        before_edge = F.col(column) > edge if descending else F.col(column) < edge
+        whole = ~some_over | F.when(edge.isNull(), F.col(column).isNotNull()).otherwise(F.coalesce(before_edge, F.lit(False)))
+        keep = keep | (at_edge & whole)
+        at_edge = at_edge & some_over & F.col(column).eqNullSafe(edge)
         left = left - taken
     return df.where(keep)
 

@@ -80,12 +80,13 @@ def ewma(df: DataFrame, spans=(7, 14, 28), value="unit_sales", keys=KEYS, order=
     With q = 1-a the mean is q^t times a running sum of x(i) q^-i. To keep the powers finite on
     any length of series, rows are cut into long blocks; a block starts from the last value of the
     block before, and what lies further back weighs less than double precision. No array holds a series
-    and no Python runs. Values must not be null.
+    and no Python runs. The mean starts at the first value; a null later on leaves it as it was.
     """
     prefix = prefix or f"{value}_ewma"
     plain = [s for s in spans if s <= 1]
     spans_left = [s for s in spans if s > 1]
-    out = df.withColumns({f"{prefix}_{s}": F.lag(value).over(series(keys, order)) for s in plain})
+    earlier = series(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumns({f"{prefix}_{s}": F.last(value, ignorenulls=True).over(earlier) for s in plain})
     if not spans_left:
         return out
     block = _block_length(spans_left)
@@ -94,7 +95,7 @@ def ewma(df: DataFrame, spans=(7, 14, 28), value="unit_sales", keys=KEYS, order=
             out = ewma(out, (span,), value, keys, order, prefix)
         return out
     w = series(keys, order)
-    out = out.withColumns({"_row": F.row_number().over(w) - 2, "_before": F.lag(value).over(w)})
+    out = out.withColumns({"_row": F.count(value).over(earlier) - 1, "_before": F.lag(value).over(w)})
     out = out.withColumns({"_block": F.floor(F.col("_row") / block), "_place": F.pmod(F.col("_row"), F.lit(block))})
     # The block grows with the order column, so one sort serves the whole series and its blocks.
     whole = Window.partitionBy(*keys).orderBy("_block", order)
@@ -110,7 +111,7 @@ def ewma(df: DataFrame, spans=(7, 14, 28), value="unit_sales", keys=KEYS, order=
     for span in spans_left:
         q = 1 - 2 / (span + 1)
         state = f"_local_{span} + coalesce(_carry_{span}, 0D) * pow({q!r}D, _place + 1)"
-        out = out.withColumn(f"{prefix}_{span}", F.expr(state))
+        out = out.withColumn(f"{prefix}_{span}", F.expr(f"CASE WHEN _row >= 0 THEN {state} END"))
     return out.drop("_row", "_before", "_block", "_place", *local, *carry)
 
 

@@ -23,6 +23,7 @@ HEADER_WORDS = (
     ("date", ("date",)), ("store_nbr", ("store",)), ("item_nbr", ("item", "sku")),
     ("family", ("family", "category")), ("unit_sales", ("sales", "demand")), ("current_stock", ("stock",)),
 )
+# What an upload without the column gets.
 DEFAULTS = {"unit_sales": 10.0, "current_stock": 50.0, "onpromotion": 0.0, "store_nbr": 1, "item_nbr": 103520}
 FIRST_DAY = "2017-08-01"
 
@@ -41,14 +42,16 @@ def normalise_headers(df: DataFrame, aliases=ALIASES) -> DataFrame:
 
 
 def match_headers(df: DataFrame, words=HEADER_WORDS) -> DataFrame:
-    """First header that contains one of the words of each target column."""
-    df = df.toDF(*[tidy(c) for c in df.columns])
-    headers = list(df.columns)
+    """Targets from the first header that contains one of their words; one header may serve several targets."""
+    headers = [tidy(c) for c in df.columns]
+    df = df.toDF(*headers)
+    source = {}
     for target, parts in words:
-        hit = next((h for h in headers if any(p in h for p in parts)), None)
-        if hit is not None and target not in df.columns:
-            df = df.withColumnRenamed(hit, target)
-    return df
+        hit = target if target in headers else next((h for h in headers if any(p in h for p in parts)), None)
+        if hit is not None:
+            source[target] = hit
+    used = set(source.values())
+    return df.select(*(F.col(h).alias(t) for t, h in source.items()), *(h for h in headers if h not in used and h not in source))
 
 
 def number_days(df: DataFrame, order, first_day=FIRST_DAY, date="date") -> DataFrame:
@@ -56,7 +59,8 @@ def number_days(df: DataFrame, order, first_day=FIRST_DAY, date="date") -> DataF
 
     Rows are ranked inside hash buckets; the rows before a bucket come from the bucket counts.
     """
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(1024)))
+    buckets = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from larder.operators import aggregates as ag, quality as q
 from larder.operators.ranking import concat_frames
 from larder.plans.clean import sales_cap
+from larder.plans.feature_store import STORE_COLUMNS
 from larder.registry.base import f32, query
 from larder.registry.relational_queries import DAILY_FRAME_SQL, daily_frame
 from larder.session import settle
 
 KEY = ("date", "store_nbr", "item_nbr")
+STORE_NULLS = "(" + " + ".join(f"(COUNT(*) - COUNT({c}))" for c in STORE_COLUMNS) + ")"
 
 
 @query(
@@ -198,13 +200,13 @@ def counts(fx):
 
 @query(
     "a18_monthly_mean",
-    """WITH d AS (SELECT * FROM daily WHERE month(date) <> 7)
+    """WITH d AS (SELECT * FROM daily)
        SELECT month, CAST(avg_total AS FLOAT) AS total_sales FROM
        (SELECT CAST(unnest(generate_series(date_trunc('month', MIN(date)), date_trunc('month', MAX(date)), INTERVAL 1 MONTH)) AS DATE) AS month FROM d)
        LEFT JOIN (SELECT CAST(date_trunc('month', date) AS DATE) AS month, AVG(total_sales) AS avg_total FROM d GROUP BY 1) USING (month)""",
 )
 def monthly(fx):
-    daily = ag.daily_sales(fx.train).where(F.month("date") != 7)
+    daily = ag.daily_sales(fx.train)
     return f32(ag.monthly_mean(daily, "total_sales"), "total_sales")
 
 
@@ -368,7 +370,7 @@ def ranked(fx):
        UNION ALL SELECT 'transferred', CAST(transferred AS VARCHAR), CAST(AVG(total_sales) AS FLOAT) FROM e WHERE type IS NOT NULL GROUP BY 2""",
 )
 def holiday_effect(fx):
-    d = ag.daily_sales(fx.train)
+    d = settle(ag.daily_sales(fx.train), "daily")
     parts = [
         ag.holiday_effect(d, fx.holidays, by).select(F.lit(by).alias("grouping"), F.col(by).cast("string").alias("value"), "mean_sales")
         for by in ("is_holiday", "type", "transferred")
@@ -456,11 +458,11 @@ def half_years(fx):
 
 @query(
     "a51_store_summary",
-    """SELECT COUNT(*) AS n_rows, 17 AS n_columns, MIN(date) AS min_date, MAX(date) AS max_date,
-              COUNT(*) FILTER (WHERE dcoilwtico IS NULL) AS missing_values FROM clean""",
+    f"""SELECT COUNT(*) AS n_rows, {len(STORE_COLUMNS)} AS n_columns, MIN(date) AS min_date, MAX(date) AS max_date,
+              {STORE_NULLS} AS missing_values FROM fstore""",
 )
 def store_summary(fx):
-    return q.store_summary(fx.clean)
+    return q.store_summary(fx.features)
 
 
 @query(
@@ -526,11 +528,11 @@ def type_rule(fx):
 
 @query(
     "v07_feature_store_report",
-    """SELECT TRUE AS has_target, TRUE AS has_date, COUNT(*) AS row_count, 17 AS col_count,
-              CAST(COUNT(*) FILTER (WHERE dcoilwtico IS NULL) * 100.0::DOUBLE / (COUNT(*) * 17) AS FLOAT) AS missing_pct, TRUE AS is_valid FROM clean""",
+    f"""SELECT TRUE AS has_target, TRUE AS has_date, COUNT(*) AS row_count, {len(STORE_COLUMNS)} AS col_count,
+              CAST({STORE_NULLS} * 100.0::DOUBLE / (COUNT(*) * {len(STORE_COLUMNS)}) AS FLOAT) AS missing_pct, TRUE AS is_valid FROM fstore""",
 )
 def store_report(fx):
-    return f32(q.feature_store_report(fx.clean), "missing_pct")
+    return f32(q.feature_store_report(fx.features), "missing_pct")
 
 
 @query(

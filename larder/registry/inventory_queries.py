@@ -185,9 +185,9 @@ def upload_trajectory(fx):
 
 @query(
     "i17_requested_skus",
-    """WITH q AS (SELECT store_nbr, item_nbr, (store_nbr * 5 + item_nbr) AS current_stock FROM stores, items WHERE (store_nbr + item_nbr) % 3 = 0),
+    """WITH q AS (SELECT DISTINCT store_nbr, item_nbr, (store_nbr * 5 + item_nbr) AS current_stock FROM (SELECT store_nbr, item_nbr FROM train UNION ALL SELECT store_nbr, item_nbr + 100 FROM train)),
             g AS (SELECT store_nbr, item_nbr, GREATEST(0.5::DOUBLE, CAST(SUM(CAST(ROUND(forecast_sales * 10000) AS BIGINT)) AS DOUBLE) / 10000 / 16) AS da FROM fc GROUP BY 1, 2),
-            d AS (SELECT q.*, da, GREATEST(0.1::DOUBLE, da * 0.25::DOUBLE) AS sd FROM q JOIN g USING (store_nbr, item_nbr)),
+            d AS (SELECT q.*, COALESCE(da, 0.5::DOUBLE) AS da, GREATEST(0.1::DOUBLE, COALESCE(da, 0.5::DOUBLE) * 0.25::DOUBLE) AS sd FROM q LEFT JOIN g USING (store_nbr, item_nbr)),
             e AS (SELECT *, CAST(CEIL(1.65::DOUBLE * sd * SQRT(7)) AS BIGINT) AS safety_stock FROM d),
             h AS (SELECT *, CAST(CEIL(da * 7 + safety_stock) AS BIGINT) AS reorder_point FROM e),
             k AS (SELECT *, CAST(CEIL(reorder_point + da * 7) AS BIGINT) AS target_stock_level FROM h)
@@ -195,8 +195,9 @@ def upload_trajectory(fx):
               CASE WHEN current_stock < reorder_point THEN 'CRITICAL_UNDERSTOCK' WHEN current_stock > target_stock_level THEN 'OVERSTOCK' ELSE 'OPTIMAL_STOCK' END AS alert_status FROM k""",
 )
 def requests(fx):
-    known = fx.train.select(*SKU).distinct().where((F.col("store_nbr") + F.col("item_nbr")) % 3 == 0)
-    asked = known.withColumn("current_stock", F.col("store_nbr") * 5 + F.col("item_nbr"))
+    known = fx.train.select(*SKU).distinct()
+    unknown = known.withColumn("item_nbr", F.col("item_nbr") + 100)
+    asked = known.union(unknown).withColumn("current_stock", F.col("store_nbr") * 5 + F.col("item_nbr"))
     return inv.replenish_requests(asked, fx.forecast).select(*SKU, "current_stock", *LEVELS, "recommended_order_qty", "alert_status")
 
 

@@ -51,9 +51,10 @@ def standardised(fx):
 
 
 def with_baselines(fx):
-    """Validation rows with three prediction columns."""
-    rows = ev.seasonal_naive(W.lags(fx.train, "unit_sales", (7,), prefix="sales_lag"))
-    early, late = ev.split_by_date(rows, ev.date_cutoff(fx.train))
+    """Validation rows with three prediction columns; the lagged sales are written once, and so is the cutoff."""
+    rows = settle(ev.seasonal_naive(W.lags(fx.train, "unit_sales", (7,), prefix="sales_lag")), "lagged")
+    cutoff = rows.select(ev.date_cutoff(rows).alias("cutoff")).limit(1).first()
+    early, late = ev.split_by_date(rows, F.lit(cutoff["cutoff"] if cutoff else None).cast("date"))
     return ev.constant_baselines(early, late).withColumnRenamed("unit_sales", "actual_sales")
 
 

@@ -10,12 +10,14 @@ from larder.operators.aggregates import daily_sales, daily_transactions
 from larder.operators.quantiles import exact_quantiles
 from larder.operators.windows import fill_forward, fill_both_ways
 from larder.plans import clean as cl
-from larder.plans.feature_store import drop_warmup, interactions, sales_lags, zero_nulls
+from larder.plans.feature_store import STORE_COLUMNS, drop_warmup, interactions, sales_lags, zero_nulls
 from larder.plans.upload import fill_defaults, match_headers, normalise_headers
 from larder.operators import windows as W
 from larder.registry.base import EVENT_WINDOW, f32, query
 
 KEY = ("date", "store_nbr", "item_nbr")
+_NO_FEATURES = {"date", "unit_sales", "onpromotion", "city", "state", "type", "family", "holiday_type", "holiday_type_encoded"}
+STORE_NUMBERS = [c for c in STORE_COLUMNS if c not in _NO_FEATURES]
 
 
 @query("p01_columns", "SELECT date, store_nbr, unit_sales FROM train")
@@ -152,12 +154,11 @@ def fixed_split(fx):
 
 @query(
     "p13_model_features",
-    """SELECT unnest(['store_nbr','item_nbr','is_return','cluster','class','perishable','dcoilwtico','transactions','is_holiday']) AS feature,
-       (SELECT COUNT(*) FROM clean) AS n_rows""",
+    f"SELECT unnest({list(STORE_NUMBERS)}) AS feature, (SELECT COUNT(*) FROM fstore) AS n_rows",
 )
 def features(fx):
-    names = quality.model_features(fx.clean)
-    return fx.clean.agg(F.count("*").alias("n_rows")).select(
+    names = quality.model_features(fx.features)
+    return fx.features.agg(F.count("*").alias("n_rows")).select(
         F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"), "n_rows"
     )
 
@@ -273,15 +274,13 @@ def equi_join(fx):
 
 def _join_sql(kind):
     return f"""SELECT COALESCE(x.date, o.date) AS date, o.dcoilwtico IS NULL AS no_price, SUM(transactions) IS NULL AS no_transactions,
-               COUNT(*) AS n_rows FROM (SELECT * FROM transactions WHERE store_nbr < 20 AND date >= DATE '2001-06-01') x {kind} JOIN
-               (SELECT * FROM oil WHERE date >= DATE '2001-03-01') o ON x.date = o.date GROUP BY 1, 2"""
+               COUNT(*) AS n_rows FROM transactions x {kind} JOIN
+               oil o ON x.date = o.date GROUP BY 1, 2"""
 
 
 def _join_kind(fx, how):
-    left = fx.transactions.where("store_nbr < 20 AND date >= DATE '2001-06-01'")
-    right = fx.oil.where("date >= DATE '2001-03-01'")
     return (
-        joins.join_on(left, right, ["date"], how, right_columns=["dcoilwtico"])
+        joins.join_on(fx.transactions, fx.oil, ["date"], how, right_columns=["dcoilwtico"])
         .groupBy("date", F.col("dcoilwtico").isNull().alias("no_price"))
         .agg(F.sum("transactions").isNull().alias("no_transactions"), F.count("*").alias("n_rows"))
     )
@@ -557,10 +556,10 @@ def labels(fx):
 @query(
     "f09_log_target",
     """SELECT unit_sales, CAST(ln(1 + GREATEST(unit_sales, 0)) AS FLOAT) AS logged,
-              CAST(exp(ln(1 + GREATEST(unit_sales, 0))) - 1 AS FLOAT) AS restored FROM (SELECT DISTINCT unit_sales FROM train WHERE unit_sales > 0)""",
+              CAST(exp(ln(1 + GREATEST(unit_sales, 0))) - 1 AS FLOAT) AS restored FROM (SELECT DISTINCT unit_sales FROM train)""",
 )
 def logs(fx):
-    out = fx.train.select("unit_sales").distinct().where("unit_sales > 0").withColumn("logged", sc.log_target(F.col("unit_sales")))
+    out = fx.train.select("unit_sales").distinct().withColumn("logged", sc.log_target(F.col("unit_sales")))
     return f32(out.withColumn("restored", sc.unlog_prediction(F.col("logged"))), "logged", "restored")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder import schemas
 from larder.errors import LoadingError, SavingError
 from larder.registry.base import f32, query
-from larder.session import scratch_path
+from larder.session import scratch_path, settle
 from larder.sources import readers, writers
 from larder.sources.catalog import Catalog, drop_view, inventory_of, register_view
 from larder.operators.inventory import filter_inventory, summary_row
@@ -192,10 +192,10 @@ def save_formats(fx):
     return concat_frames(parts)
 
 
-@query("s12_sql_to_parquet", "SELECT COUNT(*) AS n_rows FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 10)")
+@query("s12_sql_to_parquet", "SELECT COUNT(*) AS n_rows FROM (SELECT DISTINCT l_partkey FROM lineitem)")
 def sql_to_parquet(fx):
     return writers.write_query(
-        fx.spark, "SELECT DISTINCT l_partkey FROM {lines} WHERE l_quantity > 10", scratch_path(fx.spark, "query"),
+        fx.spark, "SELECT DISTINCT l_partkey FROM {lines}", scratch_path(fx.spark, "query"),
         compression="zstd", lines=fx.raw("lineitem"),
     )
 
@@ -259,14 +259,12 @@ def view(fx):
 
 @query(
     "s19_save_feature_store",
-    "SELECT date, store_nbr, item_nbr, CAST(unit_sales AS FLOAT) AS unit_sales FROM clean WHERE year(date) = 1998 AND month(date) = 5",
+    "SELECT date, store_nbr, item_nbr, CAST(unit_sales AS FLOAT) AS unit_sales, CAST(sales_roll_mean_28 AS FLOAT) AS sales_roll_mean_28 FROM fstore",
 )
 def save_store(fx):
-    path = writers.write_feature_store(fx.clean, scratch_path(fx.spark, "store"))
-    month = readers.read_parquet(
-        fx.spark, path, ["date", "store_nbr", "item_nbr", "unit_sales"], where="year = 1998 AND month = 5"
-    )
-    return f32(month, "unit_sales")
+    path = writers.write_feature_store(fx.features, scratch_path(fx.spark, "store"))
+    saved = readers.read_parquet(fx.spark, path, ["date", "store_nbr", "item_nbr", "unit_sales", "sales_roll_mean_28"])
+    return f32(saved, "unit_sales", "sales_roll_mean_28")
 
 
 @query(
@@ -275,8 +273,8 @@ def save_store(fx):
 )
 def load_predictions(fx):
     path = scratch_path(fx.spark, "predictions") + ".csv"
-    writers.write_any(fx.forecast.select("date", "store_nbr", "item_nbr", "forecast_sales"), path)
-    return f32(readers.read_predictions(fx.spark, path), "forecast_sales")
+    writers.write_any(fx.forecast.select("date", "store_nbr", "item_nbr", "forecast_sales", "actual_sales"), path)
+    return f32(readers.read_predictions(fx.spark, path).drop("actual_sales"), "forecast_sales")
 
 
 @query(
@@ -288,8 +286,10 @@ def load_predictions(fx):
 def export(fx):
     folder = scratch_path(fx.spark, "export")
     predictions = fx.forecast.select("date", "store_nbr", "item_nbr", "forecast_sales", "actual_sales")
-    paths = writers.export_forecast(predictions, fx.inventory, summary_row(fx.inventory), folder)
-    critical = writers.write_any(filter_inventory(fx.inventory, ["CRITICAL_UNDERSTOCK"]), f"{folder}/critical.csv")
+    # Four artifacts of one forecast: computed once, so that they agree.
+    inventory = settle(fx.inventory, "inventory")
+    paths = writers.export_forecast(settle(predictions, "forecast"), inventory, summary_row(inventory), folder)
+    critical = writers.write_any(filter_inventory(inventory, ["CRITICAL_UNDERSTOCK"]), f"{folder}/critical.csv")
     kinds = {**paths, "critical": critical}
     return concat_frames(
         [

@@ -19,13 +19,13 @@ def incoming(fx, parts=4):
 
 @query(
     "x01_incremental_map",
-    "SELECT event_type, COUNT(*) AS n_rows, COUNT(DISTINCT event_id) AS n_events, CAST(SUM(value) AS FLOAT) AS total FROM events WHERE event_type <> 'click' GROUP BY 1",
+    "SELECT event_type, COUNT(*) AS n_rows, COUNT(DISTINCT event_id) AS n_events, CAST(SUM(value) AS FLOAT) AS total FROM (SELECT event_id, upper(event_type) AS event_type, value FROM events) GROUP BY 1",
 )
 def incremental(fx):
     folder, schema = incoming(fx)
     out, state = scratch_path(fx.spark, "mapped"), scratch_path(fx.spark, "state")
     stream = inc.read_stream(fx.spark, folder, schema, files_per_trigger=2)
-    inc.map_new_files(stream, lambda batch: batch.where("event_type <> 'click'"), out, state).awaitTermination()
+    inc.map_new_files(stream, lambda batch: batch.withColumn("event_type", F.upper("event_type")), out, state).awaitTermination()
     result = fx.spark.read.parquet(out).groupBy("event_type").agg(
         F.count("*").alias("n_rows"), F.count_distinct("event_id").alias("n_events"), F.sum("value").alias("total")
     )

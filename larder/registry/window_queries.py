@@ -69,22 +69,19 @@ def expanding(fx):
 EWMAS = ("sales_ewma_7", "sales_ewma_14", "sales_ewma_28")
 
 
-# A weight of 3/4 gives exact binary fractions that lie halfway between two rounded values. The small
-# offset keeps both engines off those halves; four decimals are compared.
-OFFSET = 1.23e-5
+# A weight of 3/4 gives exact binary fractions, some just between two floats. Ten decimals first settle these alike in
+# both engines; no float changes by it otherwise.
+def stable_float(column):
+    return f"CAST(ROUND({column}, 10) AS FLOAT) AS {column}"
 
 
-def four_decimals(column):
-    return f"ROUND({column} + {OFFSET}::DOUBLE, 4) AS {column}"
+def stable_floats(df, *columns):
+    return df.withColumns({c: F.round(F.col(c), 10).cast("float") for c in columns})
 
 
-def rounded(df, *columns):
-    return df.withColumns({c: F.round(F.col(c) + OFFSET, 4) for c in columns})
-
-
-@query("w08_ewma", f"SELECT date, store_nbr, item_nbr, {', '.join(four_decimals(c) for c in EWMAS)} FROM rolled")
+@query("w08_ewma", f"SELECT date, store_nbr, item_nbr, {', '.join(stable_float(c) for c in EWMAS)} FROM rolled")
 def ewma(fx):
-    return rounded(W.ewma(fx.clean, prefix="sales_ewma").select(*KEY, *EWMAS), *EWMAS)
+    return stable_floats(W.ewma(fx.clean, prefix="sales_ewma").select(*KEY, *EWMAS), *EWMAS)
 
 
 def _oil_query(name, *columns):
@@ -209,8 +206,8 @@ STORE_FLOATS = tuple(c for c in STORE_COLUMNS if c not in _INT and c not in _TEX
 @query(
     "feature_store",
     "SELECT "
-    + ", ".join(four_decimals(c) if c in EWMAS else f"CAST({c} AS FLOAT) AS {c}" if c in STORE_FLOATS else c for c in STORE_COLUMNS)
+    + ", ".join(stable_float(c) if c in EWMAS else f"CAST({c} AS FLOAT) AS {c}" if c in STORE_FLOATS else c for c in STORE_COLUMNS)
     + " FROM fstore",
 )
 def feature_store(fx):
-    return rounded(f32(fx.features, *(c for c in STORE_FLOATS if c not in EWMAS)), *EWMAS)
+    return stable_floats(f32(fx.features, *(c for c in STORE_FLOATS if c not in EWMAS)), *EWMAS)

@@ -7,6 +7,7 @@ ITEMS = "item_nbr INT, family STRING, class INT, perishable INT"
 OIL = "date DATE, dcoilwtico DOUBLE"
 TRANSACTIONS = "date DATE, store_nbr INT, transactions BIGINT"
 HOLIDAYS = "date DATE, type STRING, locale STRING, locale_name STRING, description STRING, transferred BOOLEAN"
+PREDICTIONS = "date DATE, store_nbr INT, item_nbr INT, forecast_sales DOUBLE, actual_sales DOUBLE"
 
 SOURCES = {
     "train": TRAIN,

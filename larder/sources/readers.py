@@ -7,18 +7,15 @@ from pyspark.sql.utils import AnalysisException
 
 from larder.errors import LoadingError
 from larder.operators.ranking import newest_rows
+from larder.schemas import PREDICTIONS
 
 FORMATS = ("csv", "parquet", "json")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence on whatever file system the path names."""
-    try:
-        return not spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-            "path"
-        ).isEmpty()
-    except AnalysisException:
-        return False
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def _narrow(df: DataFrame, columns=None, where: Column | str | None = None) -> DataFrame:
@@ -71,9 +68,9 @@ def read_any(spark, path, format=None, columns=None, schema=None) -> DataFrame:
         raise LoadingError(f"cannot read {path}: {error}") from error
 
 
-def read_predictions(spark, path, columns=None) -> DataFrame:
-    """Predictions saved as CSV or Parquet."""
-    return read_any(spark, path, columns=columns)
+def read_predictions(spark, path, columns=None, schema=PREDICTIONS) -> DataFrame:
+    """Predictions saved as CSV or Parquet; the CSV is read by schema, without a pass to infer types."""
+    return read_any(spark, path, columns=columns, schema=schema)
 
 
 def read_newest(spark, path, n, columns=None, order=("date", "store_nbr", "item_nbr"), newest=True) -> DataFrame:

@@ -96,8 +96,8 @@ def _bytes(spark, path):
 
 
 def csv_to_parquet(spark, name, csv_path, parquet_path, schema=None, force=False, compression="snappy") -> DataFrame:
-    """Convert once: an existing target is kept unless forced. Reports rows, columns and sizes."""
-    skipped = path_exists(spark, parquet_path) and not force
+    """Convert once: a complete target (with ``_SUCCESS``) is kept unless forced. Reports rows, columns and sizes."""
+    skipped = path_exists(spark, f"{parquet_path}/_SUCCESS") and not force
     if not skipped:
         read_csv(spark, csv_path, schema=schema).write.mode("overwrite").option("compression", compression).parquet(
             parquet_path
