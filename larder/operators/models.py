@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +16,7 @@ from larder.functions.scalars import log_target, replace_non_finite, unlog_predi
 from larder.operators.evaluation import importance_table, metrics
 from larder.operators.joins import align_columns
 from larder.operators.ranking import rank_by
+from larder.session import settle
 
 LABEL = "log_sales"
 PREDICTION = "log_forecast"
@@ -156,12 +158,11 @@ def target_comparison(train: DataFrame, validation: DataFrame, features) -> Data
 def search_boosted(train: DataFrame, validation: DataFrame, features, trials=15, rounds=20, seed=42) -> DataFrame:
     """Seeded random search over depth, rate, row and column shares, scored on the later dates."""
     rng = random.Random(seed)
-    fitted = training_frame(train, features).persist()
-    result = None
+    fitted, validation, result = training_frame(train, features).persist(), validation.persist(), []
     for trial in range(trials):
         depth = rng.randint(3, 8)
-        rate = round(math.exp(rng.uniform(math.log(0.02), math.log(0.3))), 4)
-        rows, columns = round(rng.uniform(0.5, 1.0), 2), str(round(rng.uniform(0.5, 1.0), 2))
+        rate = round(math.exp(rng.uniform(math.log(0.01), math.log(0.15))), 4)
+        rows, columns = round(rng.uniform(0.5, 0.95), 2), str(round(rng.uniform(0.5, 0.95), 2))
         model = fit_boosted(fitted, features, rounds=rounds, rate=rate, depth=depth, row_share=rows, column_share=columns, seed=seed)
         row = metrics(predict(model, validation, features, digits=None)).withColumns(
             {
@@ -169,6 +170,7 @@ def search_boosted(train: DataFrame, validation: DataFrame, features, trials=15,
                 "column_share": F.lit(columns),
             }
         )
-        result = row if result is None else result.unionByName(row)
+        result.append(settle(row, "trial"))  # each trial reads the validation rows once
     fitted.unpersist()
-    return result
+    validation.unpersist()
+    return reduce(DataFrame.unionByName, result)

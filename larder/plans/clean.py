@@ -56,11 +56,11 @@ def sales_cap(sales: DataFrame, probability=0.999):
 
 
 def build_clean(tables: dict[str, DataFrame], cap_probability=0.999, by_locale=False) -> DataFrame:
-    """Sales with store, item, price, transaction and holiday columns; clipped and capped.
+    """Sales with store, item, price, transaction and holiday columns; clipped and capped. Records of one day are combined first.
 
     ``by_locale`` marks a holiday only in the stores of its state or city.
     """
-    sales, stores = tables["train"], tables["stores"]
+    sales, stores = one_row_per_day(tables["train"]), tables["stores"]
     value = F.col("unit_sales")
     base = sales.select(
         "date",

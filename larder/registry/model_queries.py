@@ -233,61 +233,66 @@ def daily_fit(fx):
 
 # Fits: no SQL twin.
 
-FEATURES = ("store_nbr", "item_nbr", "cluster", "class", "perishable", "dcoilwtico", "sales_lag_1", "sales_lag_7", "sales_lag_14", "sales_roll_mean_7", "sales_roll_mean_28", "month", "day_of_week")
+#: Settings of the registered fits. A boosted fit stops early by validation; ``ROUNDS`` bounds it.
+ROUNDS, TRIALS, TRIAL_ROUNDS, TOP = 50, 15, 10, 20
 
 
 def model_table(fx):
-    """Features known before the day, of the whole history, written once for the many passes of a fit."""
-    from larder.functions.calendar import date_parts
-
-    rows = date_parts(W.rolling(sales_lags(fx.clean), "mean", (7, 28), prefix="sales_roll_mean"))
-    return settle(rows.select("date", "unit_sales", *FEATURES), "model_table")
+    """The feature store, written once for the many passes of a fit, and the features known before the day."""
+    table = settle(fx.features, "store")
+    return table, quality.default_features(table)
 
 
 def parts(fx):
-    table = model_table(fx)
-    return ev.split_by_date(table, ev.date_cutoff(table))
+    """Early and late rows by date, and the features."""
+    table, features = model_table(fx)
+    early, late = ev.split_by_date(table, ev.date_cutoff(table))
+    return early, late, features
+
+
+def fit_linear_models(frame, features):
+    return {
+        "ols": models.fit_linear(frame, features, "ols"),
+        "ridge": models.fit_linear(frame, features, "ridge", 1.0),
+        "lasso": models.fit_linear(frame, features, "lasso", 0.01),
+        "elasticnet": models.fit_linear(frame, features, "elasticnet", 0.01, 0.5),
+    }
 
 
 @query("m06_linear_models")
 def linear(fx):
-    early, late = parts(fx)
-    frame = models.training_frame(early, FEATURES).persist()
-    fitted = {
-        "ols": models.fit_linear(frame, FEATURES, "ols"),
-        "ridge": models.fit_linear(frame, FEATURES, "ridge", 1.0),
-        "lasso": models.fit_linear(frame, FEATURES, "lasso", 0.01),
-        "elasticnet": models.fit_linear(frame, FEATURES, "elasticnet", 0.01, 0.5),
-    }
+    early, late, features = parts(fx)
+    frame = models.training_frame(early, features).persist()
+    fitted = fit_linear_models(frame, features)
     frame.unpersist()
-    return models.score_saved(fitted, late, FEATURES)
+    return models.score_saved(fitted, late, features)
 
 
 @query("m07_coefficients")
 def coefficients(fx):
-    early, _ = parts(fx)
-    return models.coefficients(models.fit_linear(models.training_frame(early, FEATURES), FEATURES, "lasso", 0.01), FEATURES)
+    early, _, features = parts(fx)
+    return models.coefficients(models.fit_linear(models.training_frame(early, features), features, "lasso", 0.01), features)
 
 
 @query("m08_random_forest")
 def forest(fx):
-    early, late = parts(fx)
-    model = models.fit_forest(models.training_frame(early, FEATURES), FEATURES)
-    return models.score_saved({"random_forest": model}, late, FEATURES)
+    early, late, features = parts(fx)
+    model = models.fit_forest(models.training_frame(early, features), features)
+    return models.score_saved({"random_forest": model}, late, features)
 
 
 @query("m09_boosted_trees")
 def boosted(fx):
-    early, late = parts(fx)
-    model = models.fit_boosted(models.training_frame(early, FEATURES), FEATURES, models.training_frame(late, FEATURES), rounds=10)
-    return models.score_saved({"boosted_trees": model}, late, FEATURES)
+    early, late, features = parts(fx)
+    model = models.fit_boosted(models.training_frame(early, features), features, models.training_frame(late, features), rounds=ROUNDS)
+    return models.score_saved({"boosted_trees": model}, late, features)
 
 
 @query("m10_full_history_training")
 def full_history(fx):
     """One fit on all rows before the horizon; rows per half-year window as the training report."""
-    table = model_table(fx)
-    model, _, late = fc.train(table, features=FEATURES, rounds=5)
+    table, features = model_table(fx)
+    model, _, late = fc.train(table, features=features, rounds=ROUNDS)
     trees = model.stages[-1].getNumTrees
     return half_year_rows(table).withColumns({"n_trees": F.lit(trees), "n_holdout": late.agg(F.count("*")).scalar()})
 
@@ -298,43 +303,51 @@ def saved(fx):
 
     from larder.session import scratch_path
 
-    early, late = parts(fx)
-    frame = models.training_frame(early, FEATURES)
+    early, late, features = parts(fx)
+    frame = models.training_frame(early, features).persist()
     loaded = {}
-    for kind in ("ols", "ridge"):
+    for kind, model in {**fit_linear_models(frame, features), "random_forest": models.fit_forest(frame, features)}.items():
         path = scratch_path(fx.spark, f"model-{kind}")
-        models.fit_linear(frame, FEATURES, kind).write().overwrite().save(path)
+        model.write().overwrite().save(path)
         loaded[kind] = PipelineModel.load(path)
-    return ev.leaderboard(models.score_saved(loaded, late, FEATURES))
+    frame.unpersist()
+    return ev.leaderboard(models.score_saved(loaded, late, features))
 
 
 @query("m17_feature_importance")
 def importance(fx):
-    early, _ = parts(fx)
-    model = models.fit_forest(models.training_frame(early, FEATURES), FEATURES, trees=10, depth=5)
-    return models.importances(fx.spark, model, FEATURES)
+    early, _, features = parts(fx)
+    return models.importances(fx.spark, models.fit_forest(models.training_frame(early, features), features), features)
 
 
 @query("m18_batch_inference")
 def inference(fx):
-    table = model_table(fx)
-    model, features, _ = fc.train(table, features=FEATURES, fit=models.fit_linear)
-    return fc.forecast(table, model, features)
+    """The champion of the saved models by RMSLE, fitted before the horizon, forecasts the horizon."""
+    table, features = model_table(fx)
+    early, late = ev.split_by_date(table, ev.date_cutoff(table))
+    frame = models.training_frame(early, features).persist()
+    candidates = {**fit_linear_models(frame, features), "random_forest": models.fit_forest(frame, features)}
+    frame.unpersist()
+    best = ev.champion(models.score_saved(candidates, late, features)).first()["model"]
+    return fc.forecast(table, candidates[best], features)
 
 
 @query("m21_ablation")
 def ablation(fx):
-    early, late = parts(fx)
-    return models.ablation(early, late, {"all": FEATURES, "top": FEATURES[6:11]})
+    """All features against the ``TOP`` ones by measured importance."""
+    early, late, features = parts(fx)
+    model = models.fit_forest(models.training_frame(early, features), features)
+    top = [r["feature"] for r in models.importances(fx.spark, model, features).orderBy("rank").limit(TOP).collect()]
+    return models.ablation(early, late, {"all": features, "top": top})
 
 
 @query("m21_target_comparison")
 def comparison(fx):
-    early, late = parts(fx)
-    return models.target_comparison(early, late, FEATURES)
+    early, late, features = parts(fx)
+    return models.target_comparison(early, late, features)
 
 
 @query("m22_search")
 def search(fx):
-    early, late = parts(fx)
-    return models.search_boosted(early, late, FEATURES, trials=2, rounds=3)
+    early, late, features = parts(fx)
+    return models.search_boosted(early, late, features, trials=TRIALS, rounds=TRIAL_ROUNDS)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,7 +41,8 @@ def build_session(app="larder", master=None, shuffle_partitions=None, **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only where it is unset and the master is local, as in tests, a temporary folder of this machine takes its place
+    and is removed at the end of the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -47,13 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise LarderError("spark.checkpoint.dir must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="larder-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_SCRATCH: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A path below the shared folder that no other run uses; ``drop_scratch`` removes it."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _SCRATCH.add(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete everything that this process wrote below the shared folder, once its results are stored or shown."""
+    dropped = 0
+    while _SCRATCH:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        dropped += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return dropped
 
 
 def settle(df: DataFrame, name="settled") -> DataFrame:
