@@ -23,7 +23,7 @@ from larder.llm.common import held_out, keep_rows, map_arrow, pieces, texts
 from larder.llm.word_table import WordTable, ngrams, per_word, word_buckets
 
 THRESHOLD = 0.3
-TOXIC, CLEAN = 1_500, 3_000
+TOXIC, CLEAN = 1_000, 2_000
 WINDOW, STRIDE = 24, 12
 BUCKETS, SIZES = 1 << 17, (3, 4, 5)
 OFTEN = 8  # documents in which a word or n-gram must stand to get a trained vector
@@ -32,6 +32,7 @@ RATES = 3
 SPLIT = (0.45, 0.4, 0.15)  # of the sample: rates, network, calibration
 EPOCHS, BY_RATES, BATCH, RATE = 6, 2, 128, 0.02
 SHRINK = 8.0
+SLICE = 10_000  # words handled at once in training, a memory setting
 SEED = 5
 
 
@@ -73,7 +74,7 @@ class Network:
         parts = ngrams(words, SIZES, BUCKETS)
         bucket, owner = np.concatenate([b for b, _ in parts]), np.concatenate([o for _, o in parts])
         order = np.argsort(owner, kind="stable")
-        return word_buckets(words, BUCKETS), bucket[order], owner[order]
+        return word_buckets(words, BUCKETS), bucket[order].astype(np.int32), owner[order].astype(np.int32)
 
     def inputs(self, whole, bucket, owner) -> np.ndarray:
         n = len(whole)
@@ -190,22 +191,26 @@ def summed(at, values):
 
 def learn_rates(net: Network, codes, owner, labels, whole, bucket, gram_starts) -> None:
     """Log-odds of standing in a toxic document, shrunk, for words and n-grams hashed to buckets."""
-    pairs = np.unique(owner.astype(np.int64) * (codes.max(initial=0) + 1) + codes)
-    doc, word = pairs // (codes.max(initial=0) + 1), pairs % (codes.max(initial=0) + 1)
-    doc, word = doc[word > 0], word[word > 0] - 1
-    prior = labels.mean()
-
-    def rate(buckets, docs):
-        seen = np.unique(docs.astype(np.int64) * BUCKETS + buckets)
-        toxic = labels[seen // BUCKETS]
-        a, b = (np.bincount(seen % BUCKETS, t, BUCKETS) for t in (toxic, 1 - toxic))
-        odds = np.log((a + SHRINK * prior) / (b + SHRINK * (1 - prior))) - np.log(prior / (1 - prior))
-        return odds.astype(np.float32), (a + b >= OFTEN).astype(np.float32)
-
-    net.word_rate, net.word_often = rate(whole[word], doc)
-    number = gram_starts[word + 1] - gram_starts[word]
-    at = np.repeat(gram_starts[word], number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-    net.gram_rate, net.gram_often = rate(bucket[at], np.repeat(doc, number))
+    prior, size, docs = labels.mean(), codes.max(initial=0) + 1, len(labels)
+    tables = np.zeros((2, 2, BUCKETS))  # words and n-grams; clean and toxic documents
+    bounds = np.searchsorted(owner, np.arange(0, docs + 50, 50))
+    for a, b in zip(bounds, bounds[1:]):
+        pairs = np.unique(owner[a:b].astype(np.int64) * size + codes[a:b])
+        doc, word = pairs // size, pairs % size
+        doc, word = doc[word > 0], word[word > 0] - 1
+        number = gram_starts[word + 1] - gram_starts[word]
+        at = np.repeat(gram_starts[word], number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        for table, buckets, documents in ((tables[0], whole[word], doc), (tables[1], bucket[at], np.repeat(doc, number))):
+            seen = np.unique(documents.astype(np.int64) * BUCKETS + buckets)
+            for kind in (0, 1):
+                table[kind] += np.bincount(seen[labels[seen // BUCKETS] == kind] % BUCKETS, minlength=BUCKETS)
+    (net.word_rate, net.word_often), (net.gram_rate, net.gram_often) = (
+        (
+            (np.log((toxic + SHRINK * prior) / (clean + SHRINK * (1 - prior))) - np.log(prior / (1 - prior))).astype(np.float32),
+            (toxic + clean >= OFTEN).astype(np.float32),
+        )
+        for clean, toxic in tables
+    )
 
 
 def calibrated(logits, labels, weights, rounds=60):
@@ -227,10 +232,14 @@ def fit(rows: list[tuple[str, int]], share: float) -> Network:
         return net
     shuffled = random.permutation(len(rows))
     words = WordTable(lambda new: np.zeros((len(new), 1)), 1)
-    codes, counts = words.codes([rows[i][0] for i in shuffled])
+    found = [words.codes([rows[i][0] for i in shuffled[k : k + 100]]) for k in range(0, len(rows), 100)]
+    codes, counts = (np.concatenate(x) for x in zip(*found))
     labels = labels[shuffled]
     vocabulary = [w for w in words.known if w]
-    whole, bucket, gram_owner = net.features(vocabulary)
+    parts_of = [(i, net.features(vocabulary[i : i + SLICE])) for i in range(0, len(vocabulary), SLICE)]
+    whole, bucket = (np.concatenate([x[k] for _, x in parts_of]) for k in (0, 1))
+    gram_owner = np.concatenate([x[2] + np.int32(i) for i, x in parts_of])
+    del parts_of
     gram_starts = np.append(0, np.cumsum(np.bincount(gram_owner, minlength=len(vocabulary))))
     parts = np.split(np.arange(len(rows)), np.cumsum([int(x * len(rows)) for x in SPLIT[:2]]))
     if any(labels[part].min(initial=1) == labels[part].max(initial=0) for part in parts):
@@ -250,8 +259,12 @@ def fit(rows: list[tuple[str, int]], share: float) -> Network:
     adam = Adam(net.p)
 
     def table():
-        rows = net.inputs(whole, bucket, gram_owner) @ net.p["inside"] + net.p["bias"]
-        return np.concatenate([np.zeros((1, 6 * HIDDEN), np.float32), rows])
+        out = np.zeros((len(vocabulary) + 1, 6 * HIDDEN), np.float32)
+        for i in range(0, len(vocabulary), SLICE):
+            last = min(i + SLICE, len(vocabulary))
+            grams = slice(gram_starts[i], gram_starts[last])
+            out[i + 1 : last + 1] = net.inputs(whole[i:last], bucket[grams], gram_owner[grams] - np.int32(i)) @ net.p["inside"] + net.p["bias"]
+        return out
 
     def worst(logits):
         order = np.lexsort((logits, doc))
