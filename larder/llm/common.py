@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import io
 import zipfile
@@ -64,6 +66,15 @@ def as_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
 
+def release_memory() -> None:
+    """Give what a finished task has freed back to the machine: workers are reused and would hold on to their peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one where the frame has such a column."""
     taken = {c.lower() for c in df.columns}
@@ -79,8 +90,11 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     arrow = to_arrow_schema(kind)
 
     def run(batches):
-        for columns in work(batches):
-            yield as_batch(columns, arrow)
+        try:
+            for columns in work(batches):
+                yield as_batch(columns, arrow)
+        finally:
+            release_memory()
 
     return df.mapInArrow(run, kind)
 
@@ -90,8 +104,11 @@ def keep_rows(df: DataFrame, decide: Callable[[list[str]], np.ndarray], rows=1_0
     ship_package(df.sparkSession)
 
     def run(batches):
-        for batch in (piece for whole in batches for piece in pieces(whole, rows)):
-            yield batch.filter(pa.array(np.asarray(decide(texts(batch)), bool)))
+        try:
+            for batch in (piece for whole in batches for piece in pieces(whole, rows)):
+                yield batch.filter(pa.array(np.asarray(decide(texts(batch)), bool)))
+        finally:
+            release_memory()
 
     return df.mapInArrow(run, df.schema)
 

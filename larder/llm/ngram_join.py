@@ -166,16 +166,18 @@ def prefix_entries(docs: DataFrame, frequent, size: int, percent: int) -> DataFr
 
     def work(batches):
         for batch in batches:
-            grams, digests, sizes, seen = [], [], [], set()
-            for s in (s for piece in pieces(batch) for s in shingle_sets(texts(piece), size)):
-                if len(s) and (digest := digest_of(s)) not in seen:
-                    seen.add(digest)
-                    head = in_order(s, frequent.value)[: prefix_length(len(s), percent)]
-                    grams.append(_signed(head))
-                    digests.append(np.full(len(head), digest))
-                    sizes.append(np.full(len(head), len(s)))
-            if grams:
-                yield {"gram": np.concatenate(grams), "digest": np.concatenate(digests), "n": np.concatenate(sizes)}
+            seen = set()
+            for piece in pieces(batch):
+                grams, digests, sizes = [], [], []
+                for s in shingle_sets(texts(piece), size):
+                    if len(s) and (digest := digest_of(s)) not in seen:
+                        seen.add(digest)
+                        head = in_order(s, frequent.value)[: prefix_length(len(s), percent)]
+                        grams.append(_signed(head))
+                        digests.append(np.full(len(head), digest))
+                        sizes.append(np.full(len(head), len(s)))
+                if grams:
+                    yield {"gram": np.concatenate(grams), "digest": np.concatenate(digests), "n": np.concatenate(sizes)}
 
     return map_arrow(docs, work, "gram LONG, digest LONG, n LONG")
 

@@ -8,7 +8,7 @@ import xxhash
 from larder.llm.common import mix
 
 #: Distinct words that a worker remembers; a speed setting, results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _WORDS: dict[bytes, int] = {}
 
 
