@@ -13,6 +13,11 @@ from larder.registry.relational_queries import DAILY_FRAME_SQL, daily_frame
 from larder.session import settle
 
 KEY = ("date", "store_nbr", "item_nbr")
+CLEAN_TYPES = {
+    "date": "date", "store_nbr": "int", "item_nbr": "int", "unit_sales": "double", "onpromotion": "boolean", "is_return": "int",
+    "city": "string", "state": "string", "type": "string", "cluster": "int", "family": "string", "class": "int", "perishable": "int",
+    "dcoilwtico": "double", "transactions": "bigint", "is_holiday": "int", "holiday_type": "string",
+}
 STORE_NULLS = "(" + " + ".join(f"(COUNT(*) - COUNT({c}))" for c in STORE_COLUMNS) + ")"
 
 
@@ -83,14 +88,17 @@ def summary(fx):
 
 @query(
     "a08_quality_report",
-    """WITH r AS (
-         SELECT 'date' AS column_name, 'date' AS dtype, COUNT(*) - COUNT(date) AS null_count, COUNT(DISTINCT date) AS unique_count, COUNT(*) AS n FROM oil
-         UNION ALL SELECT 'dcoilwtico', 'double', COUNT(*) - COUNT(dcoilwtico), COUNT(DISTINCT dcoilwtico), COUNT(*) FROM oil)
+    "WITH r AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{kind}' AS dtype, COUNT(*) - COUNT({c}) AS null_count, COUNT(DISTINCT {c}) AS unique_count, COUNT(*) AS n FROM clean"
+        for c, kind in CLEAN_TYPES.items()
+    )
+    + """)
        SELECT column_name, dtype, null_count, CAST(ROUND(null_count * 100.0::DOUBLE / n, 2) AS FLOAT) AS null_pct, unique_count,
               CAST(0 AS BIGINT) AS inf_count, unique_count <= 1 AS is_constant FROM r""",
 )
 def report(fx):
-    return f32(q.quality_report(fx.oil), "null_pct")
+    return f32(q.quality_report(fx.written_clean), "null_pct")
 
 
 @query(

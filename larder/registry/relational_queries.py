@@ -626,13 +626,30 @@ def coerced(fx):
 
 @query(
     "f15_text_to_date",
-    """SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 4 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS DATE) AS date FROM orders""",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date FROM orders""",
 )
 def text_dates(fx):
-    text = F.when(F.col("o_orderkey") % 4 == 0, "soon").otherwise(F.col("o_orderdate").cast("string"))
+    """Dates written in the accepted layouts in turn, and some that are none."""
+    turn = F.col("o_orderkey") % 7
+    text = F.when(turn == 0, "soon").when(turn == 1, F.col("o_orderdate").cast("string"))
+    for i, layout in enumerate(("yyyy/MM/dd", "M/d/yyyy", "dd.MM.yyyy", "yyyyMMdd", "d MMM yyyy"), 2):
+        text = text.when(turn == i, F.date_format("o_orderdate", layout))
     return fx.raw("orders").select("o_orderkey", sc.to_date(text).alias("date"))
 
 
+@query(
+    "j07_densified_series",
+    """WITH s AS (SELECT store_nbr, item_nbr, CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS date FROM clean GROUP BY 1, 2)
+       SELECT store_nbr, item_nbr, COUNT(*) AS n_days, COUNT(*) FILTER (WHERE COALESCE(unit_sales, 0) = 0) AS zero_days,
+              CAST(AVG(COALESCE(unit_sales, 0)) AS FLOAT) AS mean_sales FROM s LEFT JOIN clean USING (store_nbr, item_nbr, date) GROUP BY 1, 2""",
+)
+def densified(fx):
+    per_series = cl.densify(fx.clean).groupBy("store_nbr", "item_nbr").agg(
+        F.count("*").alias("n_days"), F.count(F.when(F.col("unit_sales") == 0, 1)).alias("zero_days"), F.avg("unit_sales").alias("mean_sales")
+    )
+    return f32(per_series, "mean_sales")
+
+
 @query(
     "f15_numbered_days",
     """SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, COUNT(DISTINCT o_orderkey) AS n_days, DATE '2017-08-01' AS first_day,

@@ -221,6 +221,17 @@ def convert(fx):
     return concat_frames(parts)
 
 
+@query(
+    "s14_convert_all",
+    "SELECT 'train' AS table_name, 'converted' AS action, COUNT(*) AS n_rows, 5 AS n_columns FROM train UNION ALL SELECT 'stores', 'converted', COUNT(*), 5 FROM stores",
+)
+def convert_several(fx):
+    stores = writers.write_any(fx.stores, scratch_path(fx.spark, "stores") + ".csv", "csv")
+    jobs = {"train": (written_sales(fx, "csv"), SALES_SCHEMA), "stores": (stores, schemas.STORES)}
+    tables = {name: (path, scratch_path(fx.spark, name) + ".parquet", schema) for name, (path, schema) in jobs.items()}
+    return writers.convert_all(fx.spark, tables).select("table_name", "action", "n_rows", "n_columns")
+
+
 @query("s15_row_count", "SELECT COUNT(*) AS n_rows FROM lineitem")
 def count_rows(fx):
     return readers.row_count(fx.spark, fx.path("lineitem"))

@@ -1,29 +1,19 @@
-"""Registered queries against their SQL twins. LARDER_ALL=1 runs every query, otherwise one per family."""
-
-import os
+"""Registered queries against their SQL twins, all of them."""
 
 import pytest
 
-from larder.registry import ORACLES, QUERIES, Fixture
 from larder.operators.inventory import priority_queue
+from larder.registry import ORACLES, QUERIES, Fixture
 from tests.compare import compare, connect
 from tests.conftest import SMALL
 
-CORE = (
-    "s01_csv_scan", "s08_newest_rows", "p09_holiday_filter", "p18_upload_defaults", "j03_star_join", "a05_outlier_audit",
-    "a27_family_lift", "a36_frequency_encodings", "w06_rolling_median", "w08_ewma", "w15_rolling_correlation", "t02_top_and_bottom",
-    "u01_concat", "f05_cyclic", "m14_leaderboard", "m20_blend", "i13_scenarios", "i16_upload_items", "i17_requested_skus",
-    "replenishment_plan", "x01_incremental_map", "x02_closed_daily_totals", "feature_store",
-)
-NAMES = sorted(QUERIES) if os.environ.get("LARDER_ALL") else CORE
-
 
 @pytest.fixture(scope="module")
 def oracle():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, oracle, name):
     df = QUERIES[name](spark, SMALL)
     if name in ORACLES:
