@@ -333,8 +333,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic=TOXIC, clean=CLEAN)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     limit = lambda kind, most: int(min(1.0, most / max(number.get(kind, 0), 1)) * (1 << 30))
     chosen = known.where(((F.col("toxic") == 1) & (chance < limit(1, toxic))) | ((F.col("toxic") == 0) & (chance < limit(0, clean))))
+    # The sample is bounded (about ``toxic`` + ``clean`` rows), so its ids may be broadcast: no text is shuffled.
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.select("doc_id", "toxic").collect()], "doc_id LONG, toxic INT")
     texts = docs.select(F.col("doc_id").cast("long"), "text").where(~held_out() & F.col("text").isNotNull())
-    rows = sorted((r["text"], r["toxic"]) for r in texts.join(chosen, "doc_id").select("text", "toxic").collect())
+    rows = sorted((r["text"], r["toxic"]) for r in texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").collect())
     return rows, number.get(1, 0) / max(sum(number.values()), 1)
 
 
