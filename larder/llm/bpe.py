@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -134,8 +135,10 @@ class BpeCodec:
         self.special = {x["content"]: x["id"] for x in found["added_tokens"]}
         self.bytes |= {i: token.encode() for token, i in self.special.items()}
         self.split = regex.compile(SPLIT).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.decimal = {i: str(i).encode() for i in self.bytes}
+        #: A space before white space or at the end: such a text is not cut at its spaces.
+        self.odd = re.compile(r" (?:\s|\Z)").search
         self.parts: dict[str, tuple] = {}
         #: Decimal ids and decoded bytes of pieces, without and with a space before them.
         self.shown: tuple[dict, dict] = {}, {}
@@ -169,7 +172,7 @@ class BpeCodec:
 
     def encode(self, batch: list[str]) -> list[list[int]]:
         """Ids of each text; all distinct word parts of the batch share one occurrence index."""
-        cut = [[self.split(s) if i % 2 == 0 else s for i, s in enumerate(self.cut(t) if self.cut else [t])] for t in batch]
+        cut = [[self.split(s) if i % 2 == 0 else s for i, s in enumerate(self._segments(t))] for t in batch]
         self.learn({p for text in cut for s in text[::2] for p in s})
         return [[x for i, s in enumerate(text) for x in ([self.special[s]] if i % 2 else [y for p in s for y in self.parts[p][2]])] for text in cut]
 
@@ -179,46 +182,50 @@ class BpeCodec:
         A single space before a visible character always begins a word part, so texts are cut there and each distinct
         piece is split, merged and decoded once. A text with any other space goes through the splitter as a whole.
         """
-        plan, first, later, whole = [], set(), set(), []
+        first, later, whole = set(), set(), set()
         for text in batch:
-            segments = self.cut(text) if self.cut else [text]
-            pieces = [s if i % 2 else s.split(" ") for i, s in enumerate(segments)]
-            for s in pieces[::2]:
-                first.add(s[0])
-                later.update(s[1:])
-            plan.append(pieces)
-        odd = {p for p in later if not p or p[0].isspace()}
+            for s in self._segments(text)[::2]:
+                if self.odd(s):
+                    whole.update(self.split(s))
+                else:
+                    head, *rest = s.split(" ")
+                    first.add(head)
+                    later.update(rest)
         if len(self.shown[0]) + len(self.spaced[0]) > REMEMBERED:
             self.shown, self.spaced = ({}, {}), ({}, {})
         first -= self.shown[0].keys()
         later -= self.spaced[0].keys()
-        split = [(self.shown, p, self.split(p)) for p in first] + [(self.spaced, p, self.split(" " + p)) for p in later - odd]
-        for pieces in plan:
-            for s in pieces[::2]:
-                if not odd.isdisjoint(s[1:]):
-                    whole.append(self.split(" ".join(s)))
-        self.learn({p for _, _, parts in split for p in parts} | {p for parts in whole for p in parts})
+        split = [(self.shown, p, self.split(p)) for p in first] + [(self.spaced, p, self.split(" " + p)) for p in later]
+        for _, _, parts in split:
+            whole.update(parts)
+        self.learn(whole)
         for (ids, decoded), piece, parts in split:
             ids[piece], decoded[piece] = self._entry(parts)
-        rest, out = iter(whole), []
-        for pieces in plan:
-            ids, decoded = [], []
-            for i, s in enumerate(pieces):
-                if i % 2:
-                    ids.append(self.decimal[self.special[s]])
-                    decoded.append(s.encode())
-                elif not odd.isdisjoint(s[1:]):
-                    for kept, found in zip((ids, decoded), self._entry(next(rest))):
-                        kept.append(found)
-                else:
-                    if s[0]:
-                        ids.append(self.shown[0][s[0]])
-                        decoded.append(self.shown[1][s[0]])
-                    ids.extend(map(self.spaced[0].__getitem__, s[1:]))
-                    decoded.extend(map(self.spaced[1].__getitem__, s[1:]))
-            line = b",".join(ids)
-            out.append((line, b"".join(decoded), line.count(b",") + 1 if line else 0))
-        return out
+        del split, first, later, whole
+        return [self._joined(text) for text in batch]
+
+    def _segments(self, text: str) -> list[str]:
+        """Ordinary text at even places, special tokens between."""
+        return self.cut(text) if any(x in text for x in self.special) else [text]
+
+    def _joined(self, text: str) -> tuple[bytes, bytes, int]:
+        ids, decoded = [], []
+        for i, s in enumerate(self._segments(text)):
+            if i % 2:
+                ids.append(self.decimal[self.special[s]])
+                decoded.append(s.encode())
+            elif self.odd(s):
+                for kept, found in zip((ids, decoded), self._entry(self.split(s))):
+                    kept.append(found)
+            else:
+                head, *rest = s.split(" ")
+                if head:
+                    ids.append(self.shown[0][head])
+                    decoded.append(self.shown[1][head])
+                ids.extend(map(self.spaced[0].__getitem__, rest))
+                decoded.extend(map(self.spaced[1].__getitem__, rest))
+        line = b",".join(ids)
+        return line, b"".join(decoded), line.count(b",") + 1 if line else 0
 
 
 _CODECS: dict[str, BpeCodec] = {}
@@ -266,8 +273,8 @@ def round_trip_digests(df: DataFrame, path=None) -> DataFrame:
     def work(batches):
         for batch in batches:
             docs, found = batch.column("doc_id"), texts(batch)
-            for i in range(0, len(found), 2_000):
-                got = codec(path).round_trip(found[i : i + 2_000])
+            for i in range(0, len(found), 4_000):
+                got = codec(path).round_trip(found[i : i + 4_000])
                 yield {
                     "doc_id": docs.slice(i, len(got)), "n_tokens": [n for _, _, n in got],
                     "ids_sha256": [hashlib.sha256(ids).hexdigest() for ids, _, _ in got],
