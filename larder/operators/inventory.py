@@ -277,7 +277,7 @@ def box_summary(df: DataFrame, value, by) -> DataFrame:
 
 
 def threshold_kpis(stock: DataFrame, target=150, low=50, high=200) -> DataFrame:
-    """KPIs from stock alone."""
+    """KPIs from stock alone. The three stock limits."""
     s = F.col("current_stock")
     return stock.agg(
         F.sum(F.greatest(F.lit(0), F.lit(target) - s)).alias("total_reorder"),

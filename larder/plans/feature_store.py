@@ -10,6 +10,7 @@ from larder.operators import windows as W
 from larder.operators.aggregates import constant_per_key, frequency_encoding
 from larder.session import settle
 
+# Lag and window sizes, encoded columns and the ratio offset of the store.
 LAGS = (1, 2, 3, 7, 14, 21, 28)
 PROMO_LAGS = (1, 7)
 ENCODED = ("family", "city", "state", "type", "cluster", "class")
@@ -128,6 +129,7 @@ def zero_nulls(df: DataFrame) -> DataFrame:
     return df.fillna(0.0, subset=floats) if floats else df
 
 
+# The columns of the store, in their order.
 STORE_COLUMNS = (
     "date", "store_nbr", "item_nbr", "unit_sales", "onpromotion", "is_return", "city", "state", "type", "cluster",
     "family", "class", "perishable", "dcoilwtico", "transactions", "is_holiday", "holiday_type",
