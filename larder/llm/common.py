@@ -99,7 +99,7 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, kind)
 
 
-def keep_rows(df: DataFrame, decide: Callable[[list[str]], np.ndarray], rows=1_000) -> DataFrame:
+def keep_rows(df: DataFrame, decide: Callable[[list[str]], np.ndarray], rows=500) -> DataFrame:
     """The rows of ``df`` whose texts ``decide`` says to keep, with all their columns as they are."""
     ship_package(df.sparkSession)
 

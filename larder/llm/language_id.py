@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from larder.llm.common import held_out, keep_rows, map_arrow, pieces, texts
-from larder.llm.word_table import WordTable, ngrams, normal, per_word, word_buckets
+from larder.llm.word_table import WordTable, ngrams, normal, per_word, table_of, word_buckets
 
 UNDETERMINED = "und"
 PER_LANGUAGE = 400
@@ -188,9 +188,6 @@ def training_rows(df: DataFrame, per_language=PER_LANGUAGE) -> list[tuple[str, s
     return sorted((r["text"], r["lang"]) for r in known.where(chance < limit).select("text", "lang").collect())
 
 
-_TABLES: dict = {}
-
-
 def document_languages(model: Crf, batch: list[str], table: WordTable) -> tuple[list[str], list[float]]:
     n = len(model.languages)
     if not n:
@@ -210,9 +207,7 @@ def document_languages(model: Crf, batch: list[str], table: WordTable) -> tuple[
 def word_table(shared):
     """The broadcast model and this process's word table for it."""
     model = shared.value
-    if _TABLES.get("model") is not model:
-        _TABLES.update(model=model, table=WordTable(model.evidence, len(model.languages)))
-    return model, _TABLES["table"]
+    return model, table_of(model, model.evidence, len(model.languages))
 
 
 def keep_identified(df: DataFrame, model: Crf, least=LEAST) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from larder.llm.common import held_out, keep_rows, map_arrow, pieces, texts
-from larder.llm.word_table import WordTable, ngrams, per_word, word_buckets
+from larder.llm.word_table import WordTable, ngrams, per_word, table_of, word_buckets
 
 THRESHOLD = 0.3
 TOXIC, CLEAN = 1_000, 2_000
@@ -340,15 +340,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic=TOXIC, clean=CLEAN)
     return rows, number.get(1, 0) / max(sum(number.values()), 1)
 
 
-_STATE: dict = {}
-
-
 def word_table(shared):
     """The broadcast network and this process's word table for it."""
     net = shared.value
-    if _STATE.get("net") is not net:
-        _STATE.update(net=net, table=WordTable(net.project, 6 * HIDDEN))
-    return net, _STATE["table"]
+    return net, table_of(net, net.project, 6 * HIDDEN)
 
 
 def keep_clean(df: DataFrame, net: Network, threshold=THRESHOLD) -> DataFrame:

@@ -7,7 +7,7 @@ import string
 import numpy as np
 
 #: Distinct words that a worker remembers; a speed setting, results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _EDGES = string.punctuation + "«»¿¡…“”„’"
 
 
@@ -87,3 +87,14 @@ class WordTable:
         counts = np.fromiter(map(len, words), np.int64, len(words))
         get = self.raw.__getitem__
         return np.fromiter((r for text in words for r in map(get, text)), np.int32, int(counts.sum())), counts
+
+
+_SLOT: dict = {}
+
+
+def table_of(model, embed, width: int) -> WordTable:
+    """The word table of this process for ``model``; one model's table at a time is kept, as workers serve stage after stage."""
+    if _SLOT.get("model") is not model:
+        _SLOT.clear()
+        _SLOT.update(model=model, table=WordTable(embed, width))
+    return _SLOT["table"]
