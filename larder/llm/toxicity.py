@@ -231,7 +231,7 @@ def fit(rows: list[tuple[str, int]], share: float) -> Network:
         net.calibration = (0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else (30.0 if share else -30.0))
         return net
     shuffled = random.permutation(len(rows))
-    words = WordTable(lambda new: np.zeros((len(new), 1)), 1)
+    words = WordTable(lambda new: np.zeros((len(new), 1)), 1, most=float("inf"))  # the sample is bounded; its codes stay valid
     found = [words.codes([rows[i][0] for i in shuffled[k : k + 100]]) for k in range(0, len(rows), 100)]
     codes, counts = (np.concatenate(x) for x in zip(*found))
     labels = labels[shuffled]

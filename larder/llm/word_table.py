@@ -55,8 +55,8 @@ def per_word(values: np.ndarray, owner: np.ndarray, words: int, combine=np.add)
 class WordTable:
     """Raw words to rows; ``embed`` computes the rows of new normalised words. Row 0 stands for words without letters."""
 
-    def __init__(self, embed, width: int):
-        self.embed, self.width = embed, width
+    def __init__(self, embed, width: int, most: float = REMEMBERED):
+        self.embed, self.width, self.most = embed, width, most
         self._clear()
 
     def _clear(self):
@@ -65,7 +65,7 @@ class WordTable:
         self.rows = np.zeros((1024, self.width), np.float32)
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.raw) > REMEMBERED:
+        if len(self.raw) > self.most:
             self._clear()
         new = list(words - self.raw.keys())
         plain = list(map(normal, new))
