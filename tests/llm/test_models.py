@@ -1,6 +1,8 @@
 """Language, toxicity, search, url rules and the pipeline."""
 
 import itertools
+import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -127,6 +129,39 @@ def test_search_odd_rows(odd, empty):
     assert topk_search.search(empty, odd).count() == 0 and topk_search.search(odd, empty).count() == 0
 
 
+def brute_search(rows, queries, k):
+    """The scores of the SQL twin with each row as a document of its own, of which the best of an id counts."""
+    bags = [(i, Counter(t.split())) for i, t in rows]
+    df, mean = Counter(w for _, b in bags for w in b), sum(b.total() for _, b in bags) / len(bags)
+    out = set()
+    for query, text in queries:
+        best = {}
+        for i, b in bags:
+            terms = [(b[w], np.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5))) for w in set(text.split()) if w in b]
+            if terms:
+                score = round(sum(weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * b.total() / mean)) for tf, weight in terms), 6)
+                best[i] = max(best.get(i, 0.0), score)
+        top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+        out |= {(query, rank, i, score) for rank, (i, score) in enumerate(top, 1)}
+    return out
+
+
+@pytest.mark.parametrize("shard, block", [(8_192, 64), (8_192, 4), (40, 4)])
+def test_search_of_repeated_rows(spark, monkeypatch, shard, block):
+    """Ids on more than k rows, equal and different, must not push other documents out of the top."""
+    monkeypatch.setattr(topk_search, "SHARD", shard)
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    choose = random.Random(6)
+    text = lambda: " ".join(choose.choices([f"w{i}" for i in range(40)], k=choose.randint(3, 12)))
+    rows = [(i, text()) for i in range(60)]
+    rows += [(i, t) for i, t in rows[:6] for _ in range(14)] + [(i, text()) for i in (6, 7) for _ in range(14)]
+    queries = rows[:10]
+    found = topk_search.search(frame(spark, [(*r, None) for r in rows]), frame(spark, [(*r, None) for r in queries])).collect()
+    want = {r[:3]: r[3] for r in brute_search(rows, queries, 10)}
+    assert {tuple(r)[:3] for r in found} == want.keys() and len(found) == 100
+    assert all(r["score"] == pytest.approx(want[tuple(r)[:3]], abs=2e-6) for r in found)
+
+
 PAGES = [
     (1, "http://a.example.net/en/1", None), (2, "http://A.Example.NET/fr/1?x", ""), (3, "https://b.example.com/de/9#t", None),
     (4, "https://c.example.edu/x", '<link rel="canonical" href="https://b.example.com/de/9">'), (5, "https://www.c.example.edu/x/", None),
