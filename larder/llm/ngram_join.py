@@ -14,7 +14,8 @@ Frequent n-grams are counted over all documents; at most ``MOST_FREQUENT`` are b
 the order may be any order, so this never changes a result).
 
 Defined cases: null or empty texts have no n-gram, link with nothing and are their own component; null ids are compared
-with nothing and get a null component; rows with equal id and text repeat; an empty table gives no rows.
+with nothing and get a null component; rows with equal id and text repeat; rows with equal id and different texts are documents of
+their own, each in the group of its text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,9 +23,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from larder.llm.common import bit_filter, bit_of, connected_components, fresh_name, map_arrow, mix, partitions, passes, pieces, texts
+from larder.llm.common import (
+    bit_filter, bit_of, connected_components, fresh_name, map_arrow, mix, partitions, passes, pieces, release_memory, ship_package, texts,
+)
 from larder.llm.shingles import shingle_sets
 from larder.session import settle
 
@@ -83,17 +88,20 @@ def scan(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_arrow(docs, work, "doc_id LONG, n LONG, digest LONG, firsts ARRAY<LONG>, low ARRAY<LONG>")
 
 
-def some_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, values) of the documents ``wanted`` (rep) and of few others; a bit filter of fixed size spares these the work."""
+def some_sets(docs: DataFrame, wanted: DataFrame, size: int, by_digest: bool) -> DataFrame:
+    """(node, values) of the documents ``wanted`` (rep) and of few others; a bit filter of fixed size spares these the work."""
     shared = bit_filter(wanted, "rep")
 
     def work(batches):
         for batch in batches:
             for piece in pieces(batch.take(passes(shared, batch.column("bit")))):
-                yield {"rep": piece.column("doc_id"), "values": [s.tobytes() for s in shingle_sets(texts(piece), size)]}
+                sets = shingle_sets(texts(piece), size)
+                node = [digest_of(s) for s in sets] if by_digest else piece.column("doc_id")
+                yield {"node": node, "values": [s.tobytes() for s in sets]}
 
     source = docs.where("doc_id IS NOT NULL").withColumn("bit", bit_of("doc_id"))
-    return map_arrow(source, work, "rep LONG, values BINARY")
+    found = map_arrow(source, work, "node LONG, values BINARY")
+    return found.dropDuplicates(["node"]) if by_digest else found
 
 
 def find(parent: np.ndarray, i: int) -> int:
@@ -129,32 +137,32 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return forest
 
 
-def first_product(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between representatives that share a smallest n-gram."""
-    rows = classes.select("rep", F.posexplode("firsts").alias("order", "first"))
+def first_product(docs: DataFrame, classes: DataFrame, size: int, percent: int, by_digest: bool) -> DataFrame:
+    """Links (a, b) between the nodes of classes that share a smallest n-gram."""
+    rows = classes.select("node", "rep", F.posexplode("firsts").alias("order", "first"))
     buckets = rows.groupBy("order", "first").agg(F.count("*").alias("rows")).where("rows > 1")
     placed = rows.join(buckets, ["order", "first"]).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     block = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
-    placed = settle(placed.select("order", "first", block.alias("block"), "rep"), "placed")
-    sets = some_sets(docs, placed.select("rep").distinct(), size)
-    rows = placed.join(sets, "rep").select(F.xxhash64("order", "first").alias("first"), "block", "rep", "values")
-    rows = rows.repartition(partitions(docs.sparkSession), "first", "block").sortWithinPartitions("first", "block", "rep")
+    placed = settle(placed.select("order", "first", block.alias("block"), "node", "rep"), "placed")
+    sets = some_sets(docs, placed.select("rep").distinct(), size, by_digest)
+    rows = placed.join(sets, "node").select(F.xxhash64("order", "first").alias("first"), "block", "node", "values")
+    rows = rows.repartition(partitions(docs.sparkSession), "first", "block").sortWithinPartitions("first", "block", "node")
 
     def work(batches):
-        key, reps, sets = None, [], []
+        key, nodes, sets = None, [], []
 
         def links():
             found = block_links(sets, percent) if len(sets) > 1 else []
-            return {"a": [reps[i] for i, _ in found], "b": [reps[j] for _, j in found]}
+            return {"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}
 
         for batch in batches:
-            for first, block, rep, values in zip(*(c.to_pylist() for c in batch.columns)):
+            for first, block, node, values in zip(*(c.to_pylist() for c in batch.columns)):
                 if (first, block) != key:
                     yield links()
-                    key, reps, sets = (first, block), [], []
-                if not reps or reps[-1] != rep:
-                    reps.append(rep)
+                    key, nodes, sets = (first, block), [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
                     sets.append(np.frombuffer(values, np.uint64))
         yield links()
 
@@ -246,8 +254,8 @@ def _counted(found):
     return {"a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2], "nb": pairs[:, 3], "c": counts}
 
 
-def second_product(docs, low, classes, groups, size, percent) -> DataFrame:
-    """All links (a, b) between representatives that the first product left in different groups."""
+def second_product(docs, low, classes, groups, size, percent, by_digest) -> DataFrame:
+    """All links (a, b) between the nodes of classes that the first product left in different groups."""
     spark = docs.sparkSession
     grams = low.select(F.explode("low").alias("gram"))
     total = low.select(F.sum(F.size("low"))).first()[0] or 0
@@ -255,15 +263,16 @@ def second_product(docs, low, classes, groups, size, percent) -> DataFrame:
     often = grams.groupBy("gram").count().where(F.col("count") >= least).select("gram").toPandas()["gram"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     entries = settle(shared_entries(prefix_entries(docs, frequent, size, percent)), "entries")
-    named = entries.join(classes.select("digest", "rep", "firsts"), "digest").join(groups, F.col("rep") == F.col("node"), "left")
-    named = named.select("gram", "rep", F.coalesce("component", "rep").alias("group"), "n", *(F.col("firsts")[i].alias(f"first{i}") for i in range(ORDERS)))
+    named = entries.join(classes.select("digest", "node", "firsts"), "digest").join(groups, "node", "left")
+    named = named.select("gram", "node", F.coalesce("component", "node").alias("group"), "n", *(F.col("firsts")[i].alias(f"first{i}") for i in range(ORDERS)))
     pairs = partial_counts(named, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     rest = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * percent / 100) + 1)
     bound = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     pairs = settle(pairs.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= bound).select("a", "b"), "candidates")
-    sets = settle(some_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), size), "sets")
-    left = sets.select(F.col("rep").alias("a"), F.col("values").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("values").alias("y"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = settle(some_sets(docs, wanted.join(classes, "node").select("rep"), size, by_digest), "sets")
+    left = sets.select(F.col("node").alias("a"), F.col("values").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("values").alias("y"))
 
     def work(batches):
         for batch in batches:
@@ -278,28 +287,63 @@ def second_product(docs, low, classes, groups, size, percent) -> DataFrame:
     return settle(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), work, "a LONG, b LONG"), "links")
 
 
-def jaccard_components(df: DataFrame, size=4, percent=85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row."""
+def labelled(df: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, n, digest, group, component) per row; ``group`` is one value for each group of similar sets, null for an empty set."""
     docs = df.select(F.col("doc_id").cast("long"), "text")
     low = settle(scan(docs, size, percent), "sets")
     classes = low.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("firsts").alias("firsts"))
     classes = settle(classes, "classes")
-    links = first_product(docs, classes, size, percent)
+    # Where an id stands on rows with different texts it may represent several classes, which are then told apart by digest.
+    by_digest = classes.groupBy("rep").count().where("count > 1").limit(1).count() > 0
+    classes = classes.withColumn("node", F.col("digest" if by_digest else "rep"))
+    links = first_product(docs, classes, size, percent, by_digest)
     groups = settle(connected_components(links), "groups")
-    more = second_product(docs, low, classes, groups, size, percent)
+    more = second_product(docs, low, classes, groups, size, percent, by_digest)
     final = settle(connected_components(links.union(more)), "groups")
-    named = classes.join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    rows = low.select("doc_id", "n", "digest").join(named, "digest", "left")
+    named = classes.join(final, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("group"))
+    if by_digest:
+        named = settle(named, "named")
+        named = named.join(named.groupBy("group").agg(F.min("rep").alias("component")), "group")
+    else:
+        named = named.withColumn("component", F.col("group"))
+    rows = low.select("doc_id", "n", "digest").join(named.select("digest", "group", "component"), "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    return rows.select("doc_id", "n", "digest", "group", F.when(F.col("doc_id").isNotNull(), component).alias("component"))
+
+
+def jaccard_components(df: DataFrame, size=4, percent=85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row."""
+    return labelled(df, size, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def with_digest(df: DataFrame, name: str, size: int) -> DataFrame:
+    """``df`` with the digest of each row's set in the column ``name``."""
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        try:
+            for batch in (piece for whole in batches for piece in pieces(whole)):
+                digests = pa.array([digest_of(s) for s in shingle_sets(texts(batch), size)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, digests], [*batch.schema.names, name])
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))
 
 
 def keep_one(df: DataFrame, size=5, percent=80) -> DataFrame:
-    """The rows of ``df`` that stay when each group of near-duplicates keeps its smallest id; rows without id stay."""
-    groups = settle(jaccard_components(df, size, percent), "groups")
+    """The rows of ``df`` that stay when each group of near-duplicates keeps its smallest id; rows without id stay.
+
+    Of rows in one group that share this id one stays, and so does one of the rows with equal id and no n-gram.
+    """
+    groups = settle(labelled(df, size, percent), "groups")
     name = fresh_name(df, "kept_id")
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    rows = df.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi")
+    kept = groups.where("doc_id = component")
+    rows = df.join(kept.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id").cast("long") == F.col(name), "left_semi")
     if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id"])
+        own = fresh_name(df, "set_digest")
+        kept = kept.groupBy(F.col("doc_id").alias(name), "group").agg(F.min("digest").alias("kept_digest"))
+        rows = with_digest(rows, own, size)
+        rows = rows.join(kept, (F.col("doc_id").cast("long") == kept[name]) & (rows[own] == kept["kept_digest"]), "left_semi")
+        rows = rows.dropDuplicates(["doc_id", own]).drop(own)
     return rows.unionByName(df.where("doc_id IS NULL"))

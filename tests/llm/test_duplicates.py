@@ -94,6 +94,31 @@ def test_keep_one(odd):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 2, 3, 5, 6, 7, 8, 9, 10] and kept.where("doc_id IS NULL").count() == 2
 
 
+def brute_rows(rows, size, percent):
+    """Groups by row instead of id, named after their smallest id."""
+    groups = brute_groups({n: t for n, (_, t) in enumerate(rows)}, size, percent)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        least[groups[n][1]] = min(i, least.get(groups[n][1], i))
+    return [(i, t, groups[n][0], groups[n][1], least[groups[n][1]]) for n, (i, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_one_id_on_different_texts(spark, monkeypatch, block):
+    """Texts that share an id are neither merged nor dropped for it, and lose no link."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    choose = random.Random(8)
+    rows = [(choose.randrange(30), t) for t in near_copies().values()]
+    rows += rows[:5] + [(500, ""), (500, "one two three")]
+    found = Counter(tuple(r) for r in ngram_join.jaccard_components(frame(spark, [(*r, None) for r in rows])).collect())
+    assert found == Counter((i, n, c) for i, _, n, _, c in brute_rows(rows, 4, 85))
+    want = brute_rows(rows, 5, 80)
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(frame(spark, [(*r, None) for r in rows])).collect()]
+    group = {(i, t): g for i, t, _, g, _ in want}
+    assert len(kept) == len({g for *_, g, _ in want}) and {group[r] for r in kept} == {g for *_, g, _ in want}
+    assert set(kept) <= {(i, t) for i, t, _, _, c in want if i == c}
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(60)]
     star = [(1000, 1000 + i) for i in range(1, 50)]
