@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, embeddings, language_id, ngram_join, packing, suffix_dedup, token_files, topk_search, toxicity, url_filters
+from larder.llm import bpe, divergence, embeddings, language_id, ngram_join, packing, suffix_dedup, token_files, topk_search, toxicity, url_filters
 from larder.llm.common import table
 
 LLM_QUERIES: dict[str, callable] = {}
@@ -68,3 +68,8 @@ def op8(spark, sf_dir):
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return topk_search.search(docs, docs.where("doc_id % 20 = 0"))
+
+
+@query("op12_source_divergence", divergence.ORACLE)
+def op12(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
