@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larder.llm import bpe, divergence, embeddings, language_id, ngram_join, packing, spelling, suffix_dedup, token_files, topk_search, toxicity, url_filters
+from larder.llm import attention_lm, bpe, divergence, embeddings, language_id, ngram_join, packing, spelling, suffix_dedup, token_files, topk_search, toxicity, url_filters
 from larder.llm.common import table
 
 LLM_QUERIES: dict[str, callable] = {}
@@ -78,3 +78,8 @@ def op12(spark, sf_dir):
 @query("op11_spelling_variants", spelling.ORACLE)
 def op11(spark, sf_dir):
     return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_lm_scoring")
+def op13(spark, sf_dir):
+    return attention_lm.text_scores(table(spark, sf_dir, "documents"))
