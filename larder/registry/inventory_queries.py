@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.operators import inventory as inv
-from larder.plans.upload import run_upload
+from larder.plans.upload import prepare_upload, run_upload, unreadable_dates, with_history
 from larder.registry.base import f32, query
 from larder.registry.relational_queries import UPLOAD_SQL, upload_view
 
@@ -183,6 +183,73 @@ def upload_trajectory(fx):
     return f32(run_upload(upload_view(fx))["trajectory"], "forecast")
 
 
+#: Days of history under an upload, and the window columns that it must give, as SQL over w (a SKU's days in order).
+HISTORY_DAYS = 60
+_PRIOR = "OVER (w ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
+SERIES_SQL = {
+    **{f"sales_lag_{n}": f"lag(unit_sales, {n}) OVER w" for n in (1, 2, 3, 7, 14, 21, 28)},
+    **{f"promo_lag_{n}": f"lag(onpromotion, {n}) OVER w" for n in (1, 7)},
+    **{f"sales_roll_mean_{n}": f"AVG(unit_sales) {_PRIOR.format(n)}" for n in (7, 14, 28, 60)},
+    **{f"sales_roll_std_{n}": f"STDDEV_SAMP(unit_sales) {_PRIOR.format(n)}" for n in (7, 28)},
+    "sales_roll_min_7": f"MIN(unit_sales) {_PRIOR.format(7)}", "sales_roll_max_7": f"MAX(unit_sales) {_PRIOR.format(7)}",
+    "sales_roll_median_14": f"MEDIAN(unit_sales) {_PRIOR.format(14)}",
+    "sales_expanding_mean": f"AVG(unit_sales) {_PRIOR.format('UNBOUNDED')}", "sales_expanding_std": f"STDDEV_SAMP(unit_sales) {_PRIOR.format('UNBOUNDED')}",
+}
+SMOOTHED = {7: "0.75::DOUBLE * a[-1] + 0.25::DOUBLE * x[1]", 14: "(13::DOUBLE / 15) * a[-1] + (2::DOUBLE / 15) * x[1]", 28: "(27::DOUBLE / 29) * a[-1] + (2::DOUBLE / 29) * x[1]"}
+KEPT = ("city", "cluster", "family", "dcoilwtico")
+_WINDOWED = ", ".join(f"{sql} AS {name}" for name, sql in SERIES_SQL.items())
+_CARRIED_SQL = ", ".join(f"last_value({c} IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in KEPT)
+_FLOATS = (*SERIES_SQL, *(f"sales_ewma_{n}" for n in SMOOTHED), "sales_to_roll7_ratio", "sales_to_roll28_ratio", "promo_sales_interaction", "oil_sales_interaction")
+
+
+def upload_days(fx):
+    """The days of the horizon as a user would upload them."""
+    rows = upload_view(fx)
+    return rows.where(F.col("Date_Time").cast("date") >= fx.start)
+
+
+@query(
+    "i16_upload_features",
+    f"""WITH u AS (SELECT * FROM ({UPLOAD_SQL}) WHERE date >= (SELECT start FROM horizon)),
+            b AS (SELECT store_nbr, item_nbr, MIN(date) AS begins FROM u GROUP BY 1, 2),
+            a AS (SELECT date, CAST(store_nbr AS BIGINT) AS store_nbr, CAST(item_nbr AS BIGINT) AS item_nbr, unit_sales, CAST(CAST(onpromotion AS INT) AS DOUBLE) AS onpromotion, {', '.join(KEPT)}, FALSE AS up
+                  FROM clean JOIN b USING (store_nbr, item_nbr) WHERE date < begins AND date >= begins - {HISTORY_DAYS}
+                  UNION ALL SELECT date, store_nbr, item_nbr, unit_sales, onpromotion, NULL, NULL, NULL, NULL, TRUE FROM u),
+            l AS (SELECT store_nbr, item_nbr, list(date ORDER BY date) AS ds, {', '.join(f"list_reduce(list([unit_sales] ORDER BY date), lambda a, x : list_append(a, {e})) AS e{n}" for n, e in SMOOTHED.items())}
+                  FROM a GROUP BY 1, 2),
+            e AS (SELECT store_nbr, item_nbr, unnest(ds) AS date, {', '.join(f"unnest(e{n}) AS e{n}" for n in SMOOTHED)} FROM l),
+            w AS (SELECT date, store_nbr, item_nbr, up, unit_sales, onpromotion, {_WINDOWED}, {', '.join(f"lag(e{n}) OVER w AS sales_ewma_{n}" for n in SMOOTHED)}, {_CARRIED_SQL}
+                  FROM a JOIN e USING (store_nbr, item_nbr, date) WINDOW w AS (PARTITION BY store_nbr, item_nbr ORDER BY date)),
+            f AS (SELECT *, sales_lag_1 / (sales_roll_mean_7 + 1e-4::DOUBLE) AS sales_to_roll7_ratio, sales_lag_1 / (sales_roll_mean_28 + 1e-4::DOUBLE) AS sales_to_roll28_ratio,
+                         onpromotion * sales_roll_mean_7 AS promo_sales_interaction, dcoilwtico * sales_roll_mean_28 AS oil_sales_interaction FROM w WHERE up)
+       SELECT date, store_nbr, item_nbr, city, cluster, family, {', '.join(f"CAST(ROUND({c}, 9) AS FLOAT) AS {c}" for c in (*_FLOATS, "dcoilwtico"))} FROM f""",
+)
+def upload_features(fx):
+    """Features of an upload's own series: the horizon as the upload, the clean table as its history."""
+    rows = with_history(prepare_upload(upload_days(fx)), fx.written_clean, HISTORY_DAYS)
+    return rows.select("date", *SKU, "city", "cluster", "family", *[F.round(c, 9).cast("float").alias(c) for c in (*_FLOATS, "dcoilwtico")])
+
+
+@query(
+    "i16_upload_history_items",
+    UPLOAD_BASE.replace(f"({UPLOAD_SQL})", f"(SELECT * FROM ({UPLOAD_SQL}) WHERE date >= (SELECT start FROM horizon))")
+    + """SELECT store_nbr, item_nbr, CAST(t AS FLOAT) AS total_forecast_16d, current_stock, reorder_point, target_stock_level, alert_status FROM x""",
+)
+def upload_history_items(fx):
+    """Decisions of an upload with history under the rule, which needs none of it: the rows must be the same."""
+    items = run_upload(upload_days(fx), history=fx.written_clean)["items"]
+    return f32(items.select(*SKU, "total_forecast_16d", "current_stock", "reorder_point", "target_stock_level", "alert_status"), "total_forecast_16d")
+
+
+@query(
+    "f15_unreadable_dates",
+    """SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE item_nbr % 5 = 0) AS unreadable_dates FROM train""",
+)
+def unreadable(fx):
+    text = F.when(F.col("item_nbr") % 5 == 0, F.lit("soon")).when(F.col("item_nbr") % 5 != 1, F.col("date").cast("string"))
+    return unreadable_dates(fx.train.select(text.alias(" Timestamp"), "store_nbr", "item_nbr"))
+
+
 @query(
     "i17_requested_skus",
     """WITH q AS (SELECT DISTINCT store_nbr, item_nbr, (store_nbr * 5 + item_nbr) AS current_stock FROM (SELECT store_nbr, item_nbr FROM train UNION ALL SELECT store_nbr, item_nbr + 100 FROM train)),
