@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.operators import evaluation as ev, models, quality, windows as W
+from larder.operators import evaluation as ev, linear as linear_fit, models, quality, windows as W
 from larder.operators.aggregates import half_year_rows
 from larder.operators.inventory import trajectory, with_band
 from larder.plans import forecast as fc
 from larder.plans.feature_store import sales_lags
+from larder.registry.aggregate_queries import STORED_SQL, STORE_NUMBERS, stored
 from larder.registry.base import f32, query
 from larder.session import settle
 
@@ -231,10 +232,28 @@ def daily_fit(fx):
     return f32(ev.daily_fit(with_baselines(fx), MODELS), "mean_actual", "mean_forecast")
 
 
+#: Features of the store, as ``quality.default_features`` finds them.
+FEATURES = tuple(c for c in STORE_NUMBERS if c not in ("unit_sales", *quality.SAME_DAY_OUTCOMES))
+
+
+@query(
+    "m26_store_audit",
+    f"WITH st AS MATERIALIZED ({STORED_SQL}) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS missing, CAST(0 AS BIGINT) AS infinite, COUNT(DISTINCT {c}) <= 1 AS is_constant, CAST(0 AS BIGINT) AS duplicate_keys FROM st"
+        for c in FEATURES
+    ),
+)
+def store_audit(fx):
+    """Every feature of the store before training."""
+    table = stored(fx)
+    return quality.feature_audit(table, quality.default_features(table), KEY)
+
+
 # Fits: no SQL twin.
 
-#: Settings of the registered fits. A boosted fit stops early by validation; ``ROUNDS`` bounds it.
-ROUNDS, TRIALS, TRIAL_ROUNDS, TOP = 50, 15, 10, 20
+#: Bound of the registered boosted fits, which stop by patience on later dates.
+ROUNDS, PATIENCE, TRIALS, TOP = 200, 10, 15, 20
 
 
 def model_table(fx):
@@ -250,22 +269,39 @@ def parts(fx):
     return early, late, features
 
 
+PENALTIES = {"ols": ("ols",), "ridge": ("ridge", 1.0), "lasso": ("lasso", 0.01), "elasticnet": ("elasticnet", 0.01, 0.5)}
+
+
+def linear_fits(frame, features):
+    """The four fits from one pass over the rows."""
+    known = linear_fit.moments(frame, features, models.LABEL)
+    return {name: linear_fit.solve(known, *penalty) for name, penalty in PENALTIES.items()}
+
+
 def fit_linear_models(frame, features):
-    return {
-        "ols": models.fit_linear(frame, features, "ols"),
-        "ridge": models.fit_linear(frame, features, "ridge", 1.0),
-        "lasso": models.fit_linear(frame, features, "lasso", 0.01),
-        "elasticnet": models.fit_linear(frame, features, "elasticnet", 0.01, 0.5),
-    }
+    return {name: linear_fit.as_pipeline(fit, features, models.LABEL, models.PREDICTION) for name, fit in linear_fits(frame, features).items()}
 
 
 @query("m06_linear_models")
 def linear(fx):
     early, late, features = parts(fx)
-    frame = models.training_frame(early, features).persist()
-    fitted = fit_linear_models(frame, features)
-    frame.unpersist()
-    return models.score_saved(fitted, late, features)
+    return models.score_saved(fit_linear_models(models.training_frame(early, features), features), late, features)
+
+
+STORE_CUTOFF_SQL = CUTOFF_SQL.replace("FROM train", "FROM fstore")
+
+
+@query(
+    "m06_optimality",
+    f"""SELECT model, (SELECT COUNT(*) FROM fstore WHERE date < {STORE_CUTOFF_SQL}) AS n_rows, {len(FEATURES)} AS n_features, TRUE AS is_optimal
+        FROM (VALUES ('ols'), ('ridge'), ('lasso'), ('elasticnet')) v(model)""",
+)
+def linear_optimality(fx):
+    """Every fit meets its optimality conditions on the rows themselves, in a pass of its own."""
+    early, _, features = parts(fx)
+    frame = models.training_frame(early, features)
+    found = linear_fit.optimality(frame, features, models.LABEL, linear_fits(frame, features))
+    return found.select("model", "n_rows", "n_features", (F.col("violation") <= 1e-6).alias("is_optimal"))
 
 
 @query("m07_coefficients")
@@ -283,20 +319,34 @@ def forest(fx):
 
 @query("m09_boosted_trees")
 def boosted(fx):
+    """Boosted trees stopped by patience: their errors, the trees kept and the trees built."""
     early, late, features = parts(fx)
-    model = models.fit_boosted(models.training_frame(early, features), features, models.training_frame(late, features), rounds=ROUNDS)
-    return models.score_saved({"boosted_trees": model}, late, features)
+    frame, later = models.training_frame(early, features).persist(), models.training_frame(late, features).persist()
+    model, curve = models.fit_patiently(frame, features, later, ROUNDS, PATIENCE)
+    frame.unpersist()
+    later.unpersist()
+    return models.score_saved({"boosted_trees": model}, late, features).withColumns(
+        {"n_trees": F.lit(model.stages[-1].getNumTrees), "n_rounds": F.lit(len(curve))}
+    )
 
 
 @query("m10_full_history_training")
 def full_history(fx):
     """One fit on all rows before the horizon; rows per half-year window as the training report."""
     table, features = model_table(fx)
-    model, _, late = fc.train(table, features=features, rounds=ROUNDS)
+    model, _, late = fc.train(table, features=features, rounds=ROUNDS, patience=PATIENCE)
     trees = model.stages[-1].getNumTrees
     return half_year_rows(table).withColumns({"n_trees": F.lit(trees), "n_holdout": late.agg(F.count("*")).scalar()})
 
 
+def all_models(early, features):
+    """The fits that compete; the boosted one stops by patience on the last dates before the validation rows."""
+    frame = models.training_frame(early, features).persist()
+    fitted = {**fit_linear_models(frame, features), "random_forest": models.fit_forest(frame, features)}
+    frame.unpersist()
+    return {**fitted, "boosted_trees": fc.fit_before(early, features, rounds=ROUNDS, patience=PATIENCE)}
+
+
 @query("m16_score_saved_models")
 def saved(fx):
     from pyspark.ml import PipelineModel
@@ -304,14 +354,12 @@ def saved(fx):
     from larder.session import scratch_path
 
     early, late, features = parts(fx)
-    frame = models.training_frame(early, features).persist()
     loaded = {}
-    for kind, model in {**fit_linear_models(frame, features), "random_forest": models.fit_forest(frame, features)}.items():
+    for kind, model in all_models(early, features).items():
         path = scratch_path(fx.spark, f"model-{kind}")
         model.write().overwrite().save(path)
         loaded[kind] = PipelineModel.load(path)
-    frame.unpersist()
-    return ev.leaderboard(models.score_saved(loaded, late, features))
+    return ev.leaderboard(models.score_saved(loaded, late, models.features_of(loaded["boosted_trees"])))
 
 
 @query("m17_feature_importance")
@@ -325,11 +373,9 @@ def inference(fx):
     """The champion of the saved models by RMSLE, fitted before the horizon, forecasts the horizon."""
     table, features = model_table(fx)
     early, late = ev.split_by_date(table, ev.date_cutoff(table))
-    frame = models.training_frame(early, features).persist()
-    candidates = {**fit_linear_models(frame, features), "random_forest": models.fit_forest(frame, features)}
-    frame.unpersist()
+    candidates = all_models(early, features)
     best = ev.champion(models.score_saved(candidates, late, features)).first()["model"]
-    return fc.forecast(table, candidates[best], features)
+    return fc.forecast(table, candidates[best], models.features_of(candidates[best]))
 
 
 @query("m21_ablation")
@@ -349,5 +395,5 @@ def comparison(fx):
 
 @query("m22_search")
 def search(fx):
-    early, late, features = parts(fx)
-    return models.search_boosted(early, late, features, trials=TRIALS, rounds=TRIAL_ROUNDS)
+    table, features = model_table(fx)
+    return models.search_boosted(table, features, TRIALS)
