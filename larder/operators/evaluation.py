@@ -99,7 +99,7 @@ def score_models(df: DataFrame, models, actual="actual_sales", mape="gt1") -> Da
 
 
 def leaderboard(scores: DataFrame) -> DataFrame:
-    return rank_by(scores, "rmsle", "model").orderBy("rank")
+    return rank_by(scores, "rmsle", "model", bounded=True).orderBy("rank")
 
 
 def best_per_metric(scores: DataFrame) -> DataFrame:
@@ -179,4 +179,4 @@ def importance_table(spark, names, values) -> DataFrame:
     """Features by importance with rank and share."""
     rows = [(name, float(value)) for name, value in zip(names, values)]
     table = spark.createDataFrame(rows, "feature STRING, importance DOUBLE")
-    return share_of_total(rank_by(table, "importance", "feature", descending=True), "importance").orderBy("rank")
+    return share_of_total(rank_by(table, "importance", "feature", descending=True, bounded=True), "importance").orderBy("rank")

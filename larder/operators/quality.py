@@ -56,38 +56,41 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """(place, unique_count) of the columns by their place: distinct non-null values, in one scan and one exchange.
+
+    Every cell becomes (place, 96 bits of hash), combined before the shuffle, so a column with few values sends few rows and
+    one with many is spread over all partitions. With 96 bits, two of 10^12 values agree by chance with odds of 1 to 10^5.
+    """
+    cells = [F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("place"), F.xxhash64(c).alias("h"), F.hash(c).alias("k"))) for i, c in enumerate(df.columns)]
+    seen = df.select(F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull()))).distinct()
+    return seen.groupBy("place").agg(F.count("*").alias("unique_count"))
+
+
 def quality_report(df: DataFrame) -> DataFrame:
     """Per column: type, nulls, null percent, distinct values, infinities, constant flag.
 
-    Distinct values are counted exactly, one grouped pass per column over that column alone: a single aggregate with many distinct
-    counts would copy every row once per column. Pass a written table, not a long lazy plan.
+    Two scans, whatever the number of columns. Pass a written table, not a long lazy plan.
     """
-    numeric = set(numeric_columns(df))
+    numeric, kinds = set(numeric_columns(df)), dict(df.dtypes)
     aggregates = [F.count("*").alias("_rows")]
     for c in df.columns:
-        distinct = df.select(c).where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1)).agg(F.count("*"))
-        aggregates += [
-            _nulls(c).alias(f"{c}__null_count"),
-            F.first(distinct.scalar()).alias(f"{c}__unique_count"),
-            (F.coalesce(F.sum(F.when(is_infinite(F.col(c)), 1).otherwise(0)), F.lit(0)) if c in numeric else F.lit(0))
-            .cast("bigint")
-            .alias(f"{c}__inf_count"),
-        ]
-    row = df.agg(*aggregates)
-    kinds = dict(df.dtypes)
+        infinite = F.coalesce(F.sum(F.when(is_infinite(F.col(c)), 1).otherwise(0)), F.lit(0)) if c in numeric else F.lit(0)
+        aggregates += [_nulls(c).alias(f"{c}__null_count"), infinite.cast("bigint").alias(f"{c}__inf_count")]
     cells = [
         F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(kinds[c]).alias("dtype"),
+            F.lit(i).alias("place"), F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("dtype"),
             F.col(f"{c}__null_count").alias("null_count"),
-            percent(F.col(f"{c}__null_count"), F.col("_rows")).alias("null_pct"),
-            F.col(f"{c}__unique_count").alias("unique_count"),
+            F.round(percent(F.col(f"{c}__null_count"), F.col("_rows")), 2).alias("null_pct"),
             F.col(f"{c}__inf_count").alias("inf_count"),
-            (F.col(f"{c}__unique_count") <= 1).alias("is_constant"),
         )
-        for c in df.columns
+        for i, c in enumerate(df.columns)
     ]
-    return row.select(F.inline(F.array(*cells))).withColumn("null_pct", F.round("null_pct", 2))
+    report = df.agg(*aggregates).select(F.inline(F.array(*cells))).join(distinct_counts(df), "place", "left")
+    unique = F.coalesce("unique_count", F.lit(0))
+    return report.select(
+        "column_name", "dtype", "null_count", "null_pct", unique.alias("unique_count"), "inf_count", (unique <= 1).alias("is_constant")
+    )
 
 
 def missing_report(df: DataFrame) -> DataFrame:
@@ -154,9 +157,9 @@ def skewness(df: DataFrame, columns=None) -> DataFrame:
 def categorical_summary(df: DataFrame, columns=None) -> DataFrame:
     """Distinct values, most frequent value (null counts; ties by value) and its share, per text column."""
     columns = list(columns or text_columns(df))
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]
     counts = (
-        df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-        .unpivot([], columns, "column_name", "value")
+        df.select(F.inline(F.array(*cells)))
         .groupBy("column_name", "value")
         .agg(F.count("*").alias("n"))
     )

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from larder.operators.ordered import in_order
+
 
 def _ordering(columns, descending):
     return [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in columns]
@@ -47,16 +49,43 @@ def newest_rows(df: DataFrame, n, order=("date", "store_nbr", "item_nbr"), newes
     return df.where(keep)
 
 
-def sample_rows(df: DataFrame, n, key, seed=42) -> DataFrame:
-    """Repeatable random sample of ``n`` rows: those with the smallest hash of seed and key."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
-    return df.withColumn("_digest", digest).orderBy("_digest", *key).limit(n).drop("_digest")
+#: A sample up to this size is taken as a top-n, with that many rows per task.
+SMALL_SAMPLE = 10_000
+_DIGITS = 4
+
 
+def sample_rows(df: DataFrame, n, key, seed=42, small=SMALL_SAMPLE) -> DataFrame:
+    """Repeatable random sample of ``n`` rows: those with the smallest hash of seed and key.
 
-def rank_by(df: DataFrame, measure, name, by=(), descending=False, alias="rank") -> DataFrame:
-    """Position by a measure, ties by name. For small result tables such as leaderboards."""
-    w = Window.partitionBy(*by).orderBy(*_ordering([measure], descending), F.col(name))
-    return df.withColumn(alias, F.row_number().over(w))
+    A large sample is a filter: hashes are counted by their first digits (at most 16^4 rows per pass), whole ranges below the
+    boundary are taken, and only the boundary range is refined by its next digits until it is small enough to sort.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
+    rows = df.withColumn("_digest", digest)
+    taken, edge, left, place = F.lit(False), F.lit(True), n, 0
+    while left > small and place < 32:
+        digits = F.substring("_digest", place + 1, _DIGITS)
+        counts = rows.where(edge).groupBy(digits.alias("d")).agg(F.count("*").alias("rows")).collect()  # at most 16^4 rows
+        boundary, before = None, 0
+        for row in sorted(counts):
+            if before + row["rows"] > left:
+                boundary = row["d"]
+                break
+            before += row["rows"]
+        if boundary is None:  # everything that is left fits
+            return rows.where(taken | edge).drop("_digest")
+        taken, edge = taken | (edge & (digits < boundary)), edge & (digits == boundary)
+        left, place = left - before, place + _DIGITS
+    rest = rows.where(edge).orderBy("_digest", *key).limit(left)
+    return (rest if place == 0 else rows.where(taken).unionByName(rest)).drop("_digest")
+
+
+def rank_by(df: DataFrame, measure, name, by=(), descending=False, alias="rank", bounded=False) -> DataFrame:
+    """Position by a measure, ties by name; ``bounded`` for whole tables of a fixed small size, such as leaderboards."""
+    order = [*_ordering([measure], descending), F.col(name)]
+    if by or bounded:
+        return df.withColumn(alias, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return in_order(df, order, position=alias).withColumn(alias, F.col(alias).cast("int"))
 
 
 def concat_frames(frames) -> DataFrame:

@@ -11,6 +11,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from larder.operators.ordered import in_order
+
 KEYS = ("store_nbr", "item_nbr")
 
 
@@ -165,7 +167,10 @@ def group_totals(df: DataFrame, value, by=KEYS, prefix=None) -> DataFrame:
     return df.join(totals, list(by), "left")
 
 
-def running_total(df: DataFrame, value, order="date", keys=(), alias="cumulative") -> DataFrame:
+def running_total(df: DataFrame, value, order="date", keys=(), alias="cumulative", ties=()) -> DataFrame:
+    """Running sum per key, or over the whole table in ranges of the order (``ties`` complete it)."""
+    if not keys:
+        return in_order(df, [F.col(order), *[F.col(c) for c in ties]], {alias: F.col(value)})
     return df.withColumn(
         alias, F.sum(value).over(series(keys, order).rowsBetween(Window.unboundedPreceding, 0))
     )
@@ -173,14 +178,13 @@ def running_total(df: DataFrame, value, order="date", keys=(), alias="cumulative
 
 def pareto(df: DataFrame, value, name, alias="cumulative_pct") -> DataFrame:
     """Descending cumulative share in percent; ties by name."""
-    w = Window.orderBy(F.col(value).desc(), F.col(name)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(alias, F.try_divide(F.sum(value).over(w) * 100.0, F.sum(value).over(Window.partitionBy())))
+    out = in_order(df, [F.col(value).desc(), F.col(name)], {"_upto": F.col(value)})
+    return out.withColumn(alias, F.try_divide(F.col("_upto") * 100.0, df.agg(F.sum(value)).scalar())).drop("_upto")
 
 
 def share_of_total(df: DataFrame, value, alias="share_pct", by=()) -> DataFrame:
-    return df.withColumn(
-        alias, F.try_divide(F.col(value) * 100.0, F.sum(value).over(Window.partitionBy(*by)))
-    )
+    total = F.sum(value).over(Window.partitionBy(*by)) if by else df.agg(F.sum(value)).scalar()
+    return df.withColumn(alias, F.try_divide(F.col(value) * 100.0, total))
 
 
 def control_limits(df: DataFrame, value, k=2.0) -> DataFrame:
@@ -201,15 +205,15 @@ def control_limits(df: DataFrame, value, k=2.0) -> DataFrame:
 
 def minmax_scale(df: DataFrame, columns, by=(), constant=50.0, suffix="_scaled") -> DataFrame:
     """0 to 100 between the smallest and largest value; a constant column gives ``constant``."""
-    w = Window.partitionBy(*by)
-    out = {}
+    w, out = Window.partitionBy(*by), {}
+    ends = None if by else df.agg(*[f(c).alias(f"{c}__{f.__name__}") for c in columns for f in (F.min, F.max)])
     for c in columns:
-        low, high = F.min(c).over(w), F.max(c).over(w)
+        low, high = (F.min(c).over(w), F.max(c).over(w)) if by else (ends.select(f"{c}__min").scalar(), ends.select(f"{c}__max").scalar())
         out[f"{c}{suffix}"] = F.when(high > low, (F.col(c) - low) / (high - low) * 100.0).otherwise(F.lit(constant))
     return df.withColumns(out)
 
 
 def max_scale(df: DataFrame, value, by=(), floor=1.0, alias=None) -> DataFrame:
     """Percent of the largest value (at least ``floor``)."""
-    largest = F.greatest(F.max(value).over(Window.partitionBy(*by)), F.lit(floor))
-    return df.withColumn(alias or f"{value}_scaled", F.col(value) / largest * 100.0)
+    largest = F.max(value).over(Window.partitionBy(*by)) if by else df.agg(F.max(value)).scalar()
+    return df.withColumn(alias or f"{value}_scaled", F.col(value) / F.greatest(largest, F.lit(floor)) * 100.0)

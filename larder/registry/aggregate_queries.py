@@ -101,6 +101,36 @@ def report(fx):
     return f32(q.quality_report(fx.written_clean), "null_pct")
 
 
+STORE_KINDS = {
+    **{c: "int" for c in ("store_nbr", "item_nbr", "is_return", "cluster", "class", "perishable", "is_holiday", "year", "month", "day", "day_of_week", "week_of_year",
+                          "quarter", "day_of_year", "is_weekend", "promo_lag_1", "promo_lag_7", "is_payday", "is_earthquake_period")},
+    **{c: "string" for c in ("city", "state", "type", "family", "holiday_type", "holiday_type_encoded")},
+    "date": "date", "onpromotion": "boolean", "transactions": "bigint",
+}
+#: Inexact columns of the store, rounded like the storage type so that both engines see the same values.
+STORE_INEXACT = tuple(c for c in STORE_COLUMNS if c not in STORE_KINDS)
+STORED_SQL = "SELECT " + ", ".join(f"CAST(ROUND({c}, 9) AS FLOAT) AS {c}" if c in STORE_INEXACT else c for c in STORE_COLUMNS) + " FROM fstore"
+
+
+def stored(fx):
+    """The written feature store with its 74 columns."""
+    return settle(fx.features.withColumns({c: F.round(c, 9).cast("float") for c in STORE_INEXACT}), "store")
+
+
+@query(
+    "a08_store_report",
+    f"WITH st AS MATERIALIZED ({STORED_SQL}), r AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{STORE_KINDS.get(c, 'float')}' AS dtype, COUNT(*) - COUNT({c}) AS null_count, COUNT(DISTINCT {c}) AS unique_count, COUNT(*) AS n FROM st"
+        for c in STORE_COLUMNS
+    )
+    + """) SELECT column_name, dtype, null_count, CAST(ROUND(null_count * 100.0::DOUBLE / n, 2) AS FLOAT) AS null_pct, unique_count,
+                  CAST(0 AS BIGINT) AS inf_count, unique_count <= 1 AS is_constant FROM r""",
+)
+def store_report(fx):
+    return f32(q.quality_report(stored(fx)), "null_pct")
+
+
 @query(
     "a09_missing_report",
     """SELECT 'onpromotion' AS column_name, COUNT(*) - COUNT(onpromotion) AS missing_count,
@@ -136,6 +166,30 @@ def numeric(fx):
     return f32(q.numeric_summary(fx.raw("lineitem"), NUMERIC), "mean", "std", "q25", "q50", "q75", "zeros_pct")
 
 
+STORE_NUMBERS = tuple(c for c in STORE_COLUMNS if STORE_KINDS.get(c, "float") in ("int", "bigint", "float"))
+_DOUBLES_SQL = "SELECT " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in STORE_NUMBERS) + f" FROM ({STORED_SQL})"
+
+
+@query(
+    "a11_store_summary",
+    f"WITH st AS MATERIALIZED ({_DOUBLES_SQL}) SELECT column_name, count, mean, q25, q50, q75, zeros, zeros_pct FROM ("
+    + " UNION ALL ".join(_numeric_sql("st", c) for c in STORE_NUMBERS) + ")",
+)
+def store_numeric(fx):
+    out = q.numeric_summary(stored(fx), STORE_NUMBERS)
+    return f32(out.select("column_name", "count", "mean", "q25", "q50", "q75", "zeros", "zeros_pct"), "mean", "q25", "q50", "q75", "zeros_pct")
+
+
+@query(
+    "a10_whole_rows",
+    "WITH g AS (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_suppkey, l_quantity, l_discount, l_tax, l_shipdate) "
+    "SELECT CAST(SUM(n - 1) AS BIGINT) AS duplicate_count, CAST(ROUND(SUM(n - 1) * 100.0::DOUBLE / SUM(n), 2) AS FLOAT) AS duplicate_pct, SUM(n - 1) > 0 AS has_duplicates FROM g",
+)
+def whole_duplicates(fx):
+    """Over all columns of a projection."""
+    return f32(q.duplicate_report(fx.raw("lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")), "duplicate_pct")
+
+
 @query(
     "a12_skewness",
     """SELECT 'unit_sales' AS column_name, CAST(skewness(unit_sales) AS FLOAT) AS skewness FROM train""",

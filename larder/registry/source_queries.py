@@ -310,6 +310,10 @@ def export(fx):
     )
 
 
+# Columns of the given tables.
+SIZED = {"region": 2, "nation": 3, "orders": 6, "lineitem": 11, "part": 6}
+
+
 @query(
     "s22_dataset_inventory",
     "SELECT table_name, n_rows, CAST(CASE table_name WHEN 'train' THEN 5 WHEN 'stores' THEN 5 WHEN 'items' THEN 4 "
@@ -319,6 +323,28 @@ def dataset_inventory(fx):
     return inventory_of(fx.tables)
 
 
+@query(
+    "s13_append_retry",
+    "SELECT 'retried' AS attempt, COUNT(*) AS n_rows, CAST(2 AS BIGINT) AS n_batches FROM orders UNION ALL SELECT 'read', COUNT(*), 2 FROM orders",
+)
+def append_again(fx):
+    """One batch comes twice, as after a lost answer; it counts once in the log and in the rows."""
+    orders, path = fx.raw("orders"), scratch_path(fx.spark, "appended")
+    odd = F.col("o_orderkey") % 2 == 1
+    batches = [("even", orders.where(~odd)), ("odd", orders.where(odd)), ("odd", orders.where(odd))]
+    log = writers.append_batches(batches, path).select(F.lit("retried").alias("attempt"), "n_rows", "n_batches")
+    return log.union(writers.read_batches(fx.spark, path).select(F.lit("read").alias("attempt")).groupBy("attempt").agg(F.count("*").alias("n_rows"), F.lit(2).cast("long")))
+
+
+@query(
+    "s22_table_sizes",
+    " UNION ALL ".join(f"SELECT '{name}' AS table_name, COUNT(*) AS n_rows, {n} AS n_columns, TRUE AS has_bytes FROM {name}" for name, n in SIZED.items()),
+)
+def sizes(fx):
+    found = Catalog(fx.spark, fx.folder).inventory(SIZED)
+    return found.select("table_name", "n_rows", "n_columns", ((F.col("n_files") > 0) & (F.col("n_bytes") > 0)).alias("has_bytes"))
+
+
 @query("s23_keep_in_memory", "SELECT state, COUNT(*) AS n_stores, CAST(SUM(cluster) AS BIGINT) AS clusters FROM stores GROUP BY 1")
 def keep(fx):
     folder = scratch_path(fx.spark, "kept")

@@ -169,6 +169,22 @@ def rank(fx):
     return rank_by(family_demand(fx), "demand", "family", descending=True)
 
 
+SKU_DEMAND = "(SELECT store_nbr, item_nbr, store_nbr * 100000 + item_nbr AS sku, SUM(unit_sales) AS demand FROM train GROUP BY 1, 2)"
+
+
+@query(
+    "w17_sku_pareto",
+    f"""SELECT store_nbr, item_nbr, CAST(row_number() OVER (ORDER BY demand DESC, sku) AS INT) AS rank,
+        CAST(SUM(demand) OVER (ORDER BY demand DESC, sku ROWS UNBOUNDED PRECEDING) * 100.0::DOUBLE / SUM(demand) OVER () AS FLOAT) AS cumulative_pct FROM {SKU_DEMAND}""",
+)
+def sku_pareto(fx):
+    """Rank and cumulative share of every SKU, in ranges of the order."""
+    sku = (F.col("store_nbr") * 100000 + F.col("item_nbr")).alias("sku")
+    demand = fx.train.groupBy("store_nbr", "item_nbr", sku).agg(F.sum("unit_sales").alias("demand"))
+    out = W.pareto(rank_by(demand, "demand", "sku", descending=True), "demand", "sku")
+    return f32(out.select("store_nbr", "item_nbr", "rank", "cumulative_pct"), "cumulative_pct")
+
+
 @query(
     "w20_control_chart",
     """WITH l AS (SELECT AVG(total_sales) AS m, STDDEV_POP(total_sales) AS s FROM daily)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.errors import LoadingError
-from larder.sources.readers import read_any
+from larder.sources.readers import hadoop_path, read_any
 
 RAW_TABLES = ("train", "test", "stores", "items", "oil", "transactions", "holidays_events")
 DERIVED_TABLES = ("clean_data", "feature_store")
@@ -51,6 +51,11 @@ class Catalog:
                 register_view(df, name)
         return tables
 
+    def inventory(self, names=RAW_TABLES) -> DataFrame:
+        """Rows, columns, files and bytes per table."""
+        sizes = table_sizes(self.spark, {name: self.path(name) for name in names})
+        return inventory_of({name: self.load(name) for name in names}).join(sizes, "table_name")
+
     def keep(self, name: str) -> DataFrame:
         """Hold a table in executor memory (spilling to disk) for repeated use."""
         if name not in self._kept:
@@ -75,6 +80,22 @@ def drop_view(spark: SparkSession, name: str) -> bool:
     return spark.catalog.dropTempView(name)
 
 
+def table_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(table_name, n_files, n_bytes) from the file system's own listing; no data is read."""
+    rows = []
+    for name, path in paths.items():
+        fs, target = hadoop_path(spark, path)
+        if not fs.exists(target):
+            raise LoadingError(f"{path} does not exist")
+        listing, n_files, n_bytes = fs.listFiles(target, True), 0, 0
+        while listing.hasNext():
+            found = listing.next()
+            if not found.getPath().getName().startswith(("_", ".")):
+                n_files, n_bytes = n_files + 1, n_bytes + found.getLen()
+        rows.append((name, n_files, n_bytes))
+    return spark.createDataFrame(rows, "table_name STRING, n_files LONG, n_bytes LONG")
+
+
 def inventory_of(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and columns per table."""
     parts = [

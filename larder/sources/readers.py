@@ -12,10 +12,15 @@ from larder.schemas import PREDICTIONS
 FORMATS = ("csv", "parquet", "json")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence on whatever file system the path names."""
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of whatever file system the path names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, target = hadoop_path(spark, path)
+    return fs.exists(target)
 
 
 def _narrow(df: DataFrame, columns=None, where: Column | str | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import json
+
+from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from larder.errors import SavingError
-from larder.sources.readers import format_of, path_exists, read_csv
+from larder.sources.readers import format_of, hadoop_path, path_exists, read_csv
 
 
 def write_any(df: DataFrame, path, format=None, overwrite=True, compression="snappy") -> str:
@@ -26,23 +28,75 @@ def write_any(df: DataFrame, path, format=None, overwrite=True, compression="sna
     return path
 
 
+def _write_counted(df: DataFrame, path, compression) -> int:
+    """Overwrite ``path``; the rows are counted as they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", compression).parquet(path)
+    return seen.get["rows"]
+
+
 def write_query(spark, query, path, compression="snappy", **tables) -> DataFrame:
-    """Run SQL, write the result, report its row count from the written files."""
-    spark.sql(query, **tables).write.mode("overwrite").option("compression", compression).parquet(path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n_rows"))
+    """Run SQL, write the result, report its row count; what was written is not read back."""
+    return spark.createDataFrame([(_write_counted(spark.sql(query, **tables), path, compression),)], "n_rows LONG")
+
+
+_LOG = "_batches"
+_ENTRY = "batch_id STRING, n_rows LONG, n_files LONG, n_bytes LONG"
+
+
+def append_batch(df: DataFrame, path, batch_id, compression="snappy") -> bool:
+    """Append one batch to the dataset at ``path``; False if a batch of this id is in it already.
+
+    A batch has a folder of its own, which a retry overwrites, and belongs to the dataset from the moment its log entry
+    (id, rows, files, bytes) is renamed into place, which comes last. Ids name folders: letters, digits, ``.``, ``-``, ``_``.
+    """
+    spark, batch_id = df.sparkSession, str(batch_id)
+    if not batch_id or set(batch_id) - set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._-"):
+        raise SavingError(f"not a batch id: {batch_id!r}")
+    if path_exists(spark, f"{path}/{_LOG}/{batch_id}.json"):
+        return False
+    folder = f"{path}/batch_id={batch_id}"
+    rows = _write_counted(df, folder, compression)
+    fs, target = hadoop_path(spark, folder)
+    written = [f for f in fs.listStatus(target) if f.getPath().getName().startswith("part-")]
+    entry = {"batch_id": batch_id, "n_rows": rows, "n_files": len(written), "n_bytes": sum(f.getLen() for f in written)}
+    _, draft = hadoop_path(spark, f"{path}/{_LOG}/.{batch_id}.json")
+    out = fs.create(draft, True)
+    out.write(bytearray(json.dumps(entry).encode()))
+    out.close()
+    if not fs.rename(draft, hadoop_path(spark, f"{path}/{_LOG}/{batch_id}.json")[1]):
+        raise SavingError(f"cannot commit batch {batch_id} of {path}")
+    return True
+
+
+def batch_log(spark, path) -> DataFrame:
+    """(batch_id, n_rows, n_files, n_bytes) of the committed batches."""
+    if not path_exists(spark, f"{path}/{_LOG}"):
+        return spark.createDataFrame([], _ENTRY)
+    return spark.read.schema(_ENTRY).json(f"{path}/{_LOG}")
+
+
+def read_batches(spark, path) -> DataFrame:
+    """The rows of the committed batches; what a failed attempt left behind is not read."""
+    ids = [r["batch_id"] for r in batch_log(spark, path).select("batch_id").collect()]  # one row per batch
+    if not ids:
+        raise SavingError(f"no batch in {path}")
+    return spark.read.parquet(*[f"{path}/batch_id={i}" for i in sorted(ids)])
 
 
 def append_batches(batches, path, compression="snappy") -> DataFrame:
-    """Append frames one after the other to one dataset; report rows and number of batches."""
-    count = 0
+    """Append frames, or (id, frame) pairs, one after the other; report rows and number of batches from the log.
+
+    Frames without an id are numbered, so a repeated run of the same job adds nothing twice.
+    """
     spark = None
-    for batch in batches:
-        spark = batch.sparkSession
-        batch.write.mode("append").option("compression", compression).parquet(path)
-        count += 1
+    for position, batch in enumerate(batches):
+        batch_id, frame = batch if isinstance(batch, tuple) else (str(position), batch)
+        spark = frame.sparkSession
+        append_batch(frame, path, batch_id, compression)
     if spark is None:
         raise SavingError("no batch to write")
-    return spark.read.parquet(path).agg(F.count("*").alias("n_rows"), F.lit(count).cast("bigint").alias("n_batches"))
+    return batch_log(spark, path).agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_batches"))
 
 
 def write_sorted(df: DataFrame, path, order=("store_nbr", "item_nbr", "date"), compression="snappy") -> str:
