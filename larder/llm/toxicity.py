@@ -8,6 +8,8 @@ and a logistic unit score the window; the document takes its worst window, calib
 Trained in numpy on a bounded sample of whole labelled documents (about ``TOXIC`` and ``CLEAN``) from rows whose crc32(doc_id)
 mod 4 is not 2. Rates come from one half and the network from the other, so it sees rates as they are on new text. Only
 documents are labelled, so each epoch learns from the windows that the network finds worst, and from random clean ones.
+Training starts ``STARTS`` times; of all epochs of all starts the one with the least loss on the calibration part is kept, so a start
+that goes astray, or an epoch that overfits, does not count.
 
 Defined cases: null, empty and wordless texts score 0; without labelled rows of both kinds every score is the share
 of toxic rows (0 without any); null ids are scored, never learned from; several labels of an id count as toxic if one
@@ -23,14 +25,14 @@ from larder.llm.common import held_out, keep_rows, map_arrow, pieces, texts
 from larder.llm.word_table import WordTable, ngrams, per_word, table_of, word_buckets
 
 THRESHOLD = 0.3
-TOXIC, CLEAN = 1_000, 2_000
+TOXIC, CLEAN = 1_500, 3_000
 WINDOW, STRIDE = 24, 12
 BUCKETS, SIZES = 1 << 17, (3, 4, 5)
 OFTEN = 8  # documents in which a word or n-gram must stand to get a trained vector
 WORD, CHAR, HIDDEN = 5, 5, 8
 RATES = 3
 SPLIT = (0.45, 0.4, 0.15)  # of the sample: rates, network, calibration
-EPOCHS, BY_RATES, BATCH, RATE = 6, 2, 128, 0.02
+STARTS, EPOCHS, BY_RATES, BATCH, RATE = 3, 6, 2, 128, 0.015
 SHRINK = 8.0
 SLICE = 10_000  # words handled at once in training, a memory setting
 SEED = 5
@@ -53,8 +55,8 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Network:
     """Weights; ``inputs`` makes a word's input, ``project`` what the gates add for it, ``score`` the logits of windows."""
 
-    def __init__(self, share: float):
-        random = np.random.default_rng(SEED)
+    def __init__(self, share: float, seed=SEED):
+        random = np.random.default_rng(seed)
         size = RATES + WORD + CHAR
         normal = lambda *shape: (random.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.share = share
@@ -174,9 +176,9 @@ class Adam:
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
         self.t = 0
 
-    def step(self, params, grads):
+    def step(self, params, grads, rate=RATE):
         self.t += 1
-        size = RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        size = rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for name, (at, g) in grads.items():
             m, v = self.m[name], self.v[name]
             m[at] = 0.9 * m[at] + 0.1 * g
@@ -252,13 +254,14 @@ def fit(rows: list[tuple[str, int]], share: float) -> Network:
 
     rate_codes, rate_counts, rate_labels = words_of(parts[0])
     learn_rates(net, rate_codes, np.repeat(np.arange(len(rate_counts)), rate_counts), rate_labels, whole, bucket, gram_starts)
-    last = words_of(parts[2])
+    held = words_of(parts[2])
+    held_doc, held_start, held_lengths = windows(held[1])
+    held_weights = np.where(held[2] > 0, share / held[2].mean(), (1 - share) / (1 - held[2].mean()))
     codes, counts, labels = words_of(parts[1])
     doc, start, lengths = windows(counts)
     firsts = np.searchsorted(doc, np.arange(len(counts) + 1))
-    adam = Adam(net.p)
 
-    def table():
+    def table(net):
         out = np.zeros((len(vocabulary) + 1, 6 * HIDDEN), np.float32)
         for i in range(0, len(vocabulary), SLICE):
             last = min(i + SLICE, len(vocabulary))
@@ -270,16 +273,24 @@ def fit(rows: list[tuple[str, int]], share: float) -> Network:
         order = np.lexsort((logits, doc))
         return order[firsts[1:] - 1]
 
+    def judged(net, rows):
+        """Loss on the calibration part after calibration, and the calibration."""
+        top = np.full(len(held[1]), -np.inf)
+        np.maximum.at(top, held_doc, net.score_windows(rows, held[0], held_start, held_lengths))
+        slope, shift = calibrated(top, held[2], held_weights)
+        q = np.clip(sigmoid(slope * top + shift), 1e-9, 1 - 1e-9)
+        return -float((held_weights * (held[2] * np.log(q) + (1 - held[2]) * np.log(1 - q))).mean()), (slope, shift)
+
     padded = np.append(codes, np.zeros(WINDOW, codes.dtype))
     # The first choices of windows go by rates alone: the network has learned too little yet.
     by_rate = np.append(0, np.maximum(net.word_rate[whole], per_word(net.gram_rate[bucket], gram_owner, len(vocabulary), np.maximum)))
-    logits = np.empty(len(start))
+    first_logits = np.empty(len(start))
     for i in range(0, len(start), 20_000):
         inside = np.arange(WINDOW)[:, None] < lengths[i : i + 20_000]
-        logits[i : i + 20_000] = np.where(inside, by_rate[padded[start[i : i + 20_000] + np.arange(WINDOW)[:, None]]], 0).max(axis=0)
-    for epoch in range(EPOCHS):
-        if epoch >= BY_RATES:
-            logits = net.score_windows(table(), codes, start, lengths)
+        first_logits[i : i + 20_000] = np.where(inside, by_rate[padded[start[i : i + 20_000] + np.arange(WINDOW)[:, None]]], 0).max(axis=0)
+
+    def learn(net, adam, logits, rate):
+        """One epoch."""
         clean = np.flatnonzero(labels[doc] == 0)
         chosen = np.unique(np.concatenate([worst(logits), random.choice(clean, min(len(clean), 2 * len(counts)), replace=False)]))
         random.shuffle(chosen)
@@ -306,13 +317,23 @@ def fit(rows: list[tuple[str, int]], share: float) -> Network:
             updates = {k: (slice(None), v.astype(np.float32)) for k, v in g.items()}
             updates["word"] = summed(whole[index], d_x[:, RATES : RATES + WORD] * net.word_often[whole[index], None])
             updates["char"] = summed(grams, d_x[grams_of, RATES + WORD :] / number[grams_of, None] * net.gram_often[grams, None])
-            adam.step(net.p, updates)
-    codes, counts, labels = last
-    doc, start, lengths = windows(counts)
-    top = np.full(len(counts), -np.inf)
-    np.maximum.at(top, doc, net.score_windows(table(), codes, start, lengths))
-    weights = np.where(labels > 0, share / labels.mean(), (1 - share) / (1 - labels.mean()))
-    net.calibration = calibrated(top, labels, weights)
+            adam.step(net.p, updates, rate)
+
+    best = float("inf")
+    for attempt in range(STARTS):
+        trial = Network(share, SEED + attempt)
+        trial.word_rate, trial.word_often, trial.gram_rate, trial.gram_often = net.word_rate, net.word_often, net.gram_rate, net.gram_often
+        adam, logits = Adam(trial.p), first_logits
+        for epoch in range(EPOCHS):
+            learn(trial, adam, logits, RATE * (1 - 0.8 * epoch / EPOCHS))
+            if epoch + 1 >= BY_RATES:
+                rows_now = table(trial)
+                loss, calibration = judged(trial, rows_now)
+                if loss < best:
+                    best, net.calibration, net.p = loss, calibration, {k: v.copy() for k, v in trial.p.items()}
+                if epoch + 1 < EPOCHS:
+                    logits = trial.score_windows(rows_now, codes, start, lengths)
+                del rows_now
     return net
 
 
