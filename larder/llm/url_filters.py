@@ -1,16 +1,17 @@
 """URL rules, and block decisions that spread over redirects and canonical links.
 
 A rule (host, path, verdict) fits its host and all subdomains where the path starts with its path; the longest rule wins.
-Urls without a rule follow their aliases: redirect edges (``<meta http-equiv=refresh>``), canonical links
-(``<link rel=canonical>``) and the canonical form of the url itself (scheme, ``www.``/``m.``, fragment, ``utm_*`` parameters, a
-closing ``/`` or ``.html``) join urls into components. An alias that a rule allows takes precedence over any number
-of blocked ones; otherwise one blocked alias blocks; otherwise the url is allowed.
+Urls without a rule follow their aliases: redirect edges (every ``<meta http-equiv=refresh>``) and canonical links (every
+``<link rel=canonical>``) join urls into components. An alias that a rule allows takes precedence over any number
+of blocked ones; otherwise one blocked alias blocks; otherwise the url is allowed. On request, urls that differ only in scheme,
+``www.``/``m.``, fragment, ``utm_*`` parameters or a closing ``/`` or ``.html`` are aliases too; that is a guess, so it is off.
 
 All work is done on distinct urls, so a url with very many rows counts once. Only expressions, joins and combined
 aggregates are used.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no rule and no alias, and is allowed; null html has
-no links; repeated rows are judged alike; an empty table gives no rows.
+no links; repeated rows are judged alike; very long urls and pages are read whole; further columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ RULES = (
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"""(?i)<link\b[^>]*\brel=["']?canonical["']?[^>]*>"""
-REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv=["']?refresh["']?[^>]*>"""
-HREF = r"""(?i)\bhref=["']?([^"'\s>]+)"""
-TARGET = r"""(?i)\burl=["']?([^"'\s>;]+)"""
+CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?\s*canonical\b[^>]*>"""
+REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>"""
+HREF = r"""(?i)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+TARGET = r"""(?i)\burl\s*=\s*["']?\s*([^"'\s>;]+)"""
 
 
 def rest(url):
@@ -73,9 +74,9 @@ def absolute(target):
 def page_links(pages: DataFrame) -> DataFrame:
     """(src, dst) of redirects and canonical links found in html."""
     with_html = with_parts(pages.select("url", "html").where("url IS NOT NULL AND html IS NOT NULL")).where("host <> ''")
-    canonical = F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1)
-    redirect = F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1)
-    links = with_html.select("url", "authority", "path", F.explode(F.array(canonical, redirect)).alias("target")).where("target <> ''")
+    canonical = F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(0)), lambda tag: F.regexp_extract(tag, HREF, 1))
+    redirect = F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda tag: F.regexp_extract(tag, TARGET, 1))
+    links = with_html.select("url", "authority", "path", F.explode(F.concat(canonical, redirect)).alias("target")).where("target <> ''")
     return links.select(F.col("url").alias("src"), absolute(F.col("target")).alias("dst")).distinct()
 
 
@@ -92,8 +93,8 @@ def best_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("url").agg(best.alias("best")).select("url", "best.rule", "best.ruled")
 
 
-def judge(pages: DataFrame, rules: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict) per row; ``links`` (src, dst) adds known redirects."""
+def judge(pages: DataFrame, rules: DataFrame, links: DataFrame | None = None, forms=False) -> DataFrame:
+    """(page_id, host, path, rule, verdict) per row; ``links`` (src, dst) adds known redirects, ``forms`` aliases by form."""
     found = page_links(pages)
     if links is not None:
         found = found.union(links.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"))
@@ -103,8 +104,9 @@ def judge(pages: DataFrame, rules: DataFrame, links: DataFrame | None = None) ->
     ruled = settle(urls.join(best_rules(urls, rules), "url", "left").select("url", "authority", "host", "path", "rule", "ruled"), "ruled")
     node = lambda c: F.xxhash64(c)
     edges = found.select(node("src").alias("a"), node("dst").alias("b"))
-    forms = ruled.select(F.col("url"), canonical_form().alias("form")).where("form IS NOT NULL")
-    edges = edges.union(forms.select(node("url").alias("a"), node("form").alias("b")))
+    if forms:
+        formed = ruled.select(F.col("url"), canonical_form().alias("form")).where("form IS NOT NULL")
+        edges = edges.union(formed.select(node("url").alias("a"), node("form").alias("b")))
     groups = settle(connected_components(edges), "groups")
     placed = ruled.join(groups, node("url") == F.col("node"), "left")
     spread = placed.groupBy("component").agg(F.max(F.col("ruled") == "allow").alias("allows"), F.max(F.col("ruled") == "block").alias("blocks"))
@@ -132,8 +134,8 @@ links AS (
          ELSE split_part(url, '://', 1) || '://' || auth || CASE WHEN folder = '' THEN '/' ELSE folder END || t END AS dst
   FROM (SELECT url, regexp_extract(tail, '^[^/?#]*') AS auth,
                regexp_replace(regexp_extract(substr(tail, length(regexp_extract(tail, '^[^/?#]*')) + 1), '^[^?#]*'), '[^/]*$', '') AS folder,
-               unnest([regexp_extract(regexp_extract(html, '{_duck(CANONICAL)}'), '{_duck(HREF)}', 1),
-                       regexp_extract(regexp_extract(html, '{_duck(REFRESH)}'), '{_duck(TARGET)}', 1)]) AS t
+               unnest(list_concat(list_transform(regexp_extract_all(html, '{_duck(CANONICAL)}'), lambda x: regexp_extract(x, '{_duck(HREF)}', 1)),
+                                  list_transform(regexp_extract_all(html, '{_duck(REFRESH)}'), lambda x: regexp_extract(x, '{_duck(TARGET)}', 1)))) AS t
         FROM (SELECT url, html, substr(url, instr(url, '://') + 3) AS tail FROM pages WHERE contains(url, '://') AND html IS NOT NULL))
   WHERE t <> '' AND auth <> ''),
 urls AS (
@@ -145,11 +147,7 @@ ruled AS (
   SELECT url, host, path, rhost || rpath AS rule, ruled FROM urls
   LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(rhost || rpath) DESC, ruled) = 1),
-forms AS (
-  SELECT url, 'form:' || regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/)$', '') || '?' ||
-         regexp_replace(regexp_replace(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '') AS form
-  FROM ruled WHERE host <> ''),
-edges AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links UNION SELECT url, form FROM forms UNION SELECT form, url FROM forms),
+edges AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links),
 reach AS (SELECT a AS node, b AS other FROM edges UNION SELECT node, b FROM reach JOIN edges ON other = a),
 spread AS (
   SELECT node FROM reach JOIN ruled ON other = url GROUP BY node
