@@ -9,13 +9,17 @@ a bucket of any size is compared completely without lying in one task. A pair co
 vectors share a bucket. Out of a block pair come link counts per vector and a spanning forest, never all pairs.
 Equal vectors are one class, compared once and weighted by their number.
 
-Defined cases: null, zero or non-finite vectors and those of another length than the most common one link with nothing; null ids are
-compared as others, but have no own component id (null); repeated rows are several vectors; an empty table gives no rows.
+Vectors of different lengths have no cosine; each length found (few) has hash tables of its own.
+
+Defined cases: null, zero or non-finite vectors link with nothing; null ids are compared as others, but have no own component id
+(null); repeated rows are several vectors; very long vectors are read whole; further columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -125,18 +129,15 @@ def block_pairs(classes: DataFrame) -> DataFrame:
     return rows.join(classes, "key")
 
 
-def similar_vectors(df: DataFrame, threshold=0.95) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per row."""
-    spark = df.sparkSession
-    units = settle(unit_vectors(df), "units")
-    usual = units.where("unit IS NOT NULL").groupBy(F.length("unit").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if usual is None:
-        return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    size = usual["size"] // 8
-    k, tables = plan_tables(usual["count"], threshold)
-    comparable = units.where(F.length("unit") == usual["size"])
+def links_of(comparable: DataFrame, size: int, count: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of ``count`` vectors with ``size`` components: (key, weight) of their classes, and (a, b, links) between classes.
+
+    Rows with a = b count a class's links to others; the others span the components.
+    """
+    k, tables = plan_tables(count, threshold)
     classes = comparable.groupBy("key").agg(F.first("unit").alias("unit"), F.count("*").alias("weight"))
     classes = settle(hashed(classes, size, k, tables), "hashed")
+    spark = comparable.sparkSession
     rows = block_pairs(classes).repartition(partitions(spark), "table", "bucket", "left", "right")
     rows = rows.sortWithinPartitions("table", "bucket", "left", "right", "own", "key")
     rows = rows.select("table", "bucket", "left", "right", "own", "key", "unit", "weight", "cells")
@@ -172,7 +173,18 @@ def similar_vectors(df: DataFrame, threshold=0.95) -> DataFrame:
             done += close()
         yield dict(zip(("a", "b", "links"), map(list, zip(*done)))) if done else {"a": [], "b": [], "links": []}
 
-    found = settle(map_arrow(rows, work, "a LONG, b LONG, links LONG"), "links")
+    return classes.select("key", "weight"), settle(map_arrow(rows, work, "a LONG, b LONG, links LONG"), "links")
+
+
+def similar_vectors(df: DataFrame, threshold=0.95) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) per row."""
+    units = settle(unit_vectors(df), "units")
+    lengths = units.where("unit IS NOT NULL").groupBy(F.length("unit").alias("size")).count().orderBy("size").collect()  # few lengths
+    if not lengths:
+        return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    parts = [links_of(units.where(F.length("unit") == r["size"]), r["size"] // 8, r["count"], threshold) for r in lengths]
+    classes, found = (reduce(DataFrame.union, side) for side in zip(*parts))
+    comparable = units.where("unit IS NOT NULL")
     counts = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
     names = settle(comparable.groupBy("key").agg(F.min("vec_id").alias("rep")), "names")
     left = names.select(F.col("key").alias("a"), F.col("rep").alias("p"))
@@ -182,7 +194,7 @@ def similar_vectors(df: DataFrame, threshold=0.95) -> DataFrame:
     named = names.join(groups, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
     weights = classes.select("key", "weight").join(counts, F.col("key") == F.col("a"), "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     per_class = named.join(weights, "key")
-    rows = units.withColumn("key", F.when(F.length("unit") == usual["size"], F.col("key"))).join(per_class, "key", "left")
+    rows = units.withColumn("key", F.when(F.col("unit").isNotNull(), F.col("key"))).join(per_class, "key", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return rows.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
