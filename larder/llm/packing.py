@@ -11,6 +11,7 @@ row; an empty table gives no pieces. Only the last window is shorter than ``wind
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -50,14 +51,15 @@ def prefix_sums(totals: list[tuple[int, int]]) -> dict[int, int]:
     return offsets
 
 
-def cut(n: int, at: int, window: int):
-    """(start in the document, length, sequence, offset there) of the pieces of ``n`` ids that begin at ``at``."""
-    start = 0
-    while start < n:
-        sequence, offset = divmod(at + start, window)
-        length = min(n - start, window - offset)
-        yield start, length, sequence, offset
-        start += length
+def cuts(n: np.ndarray, at: np.ndarray, window: int):
+    """(document, start in it, length, sequence, offset there) of the pieces of documents with ``n`` ids that begin at ``at``."""
+    number = np.where(n > 0, (at + n - 1) // window - at // window + 1, 0)
+    doc = np.repeat(np.arange(len(n)), number)
+    step = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+    sequence = at[doc] // window + step
+    begin = np.maximum(sequence * window, at[doc])
+    end = np.minimum((sequence + 1) * window, (at + n)[doc])
+    return doc, begin - at[doc], end - begin, sequence, begin - sequence * window
 
 
 def pack(df: DataFrame, window=WINDOW, path=None, end_id=END_ID) -> DataFrame:
@@ -68,13 +70,15 @@ def pack(df: DataFrame, window=WINDOW, path=None, end_id=END_ID) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            columns = {name: [] for name in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
-            for doc, n, ids, part, local in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                for start, length, sequence, offset in cut(n, offsets[part] + local, window):
-                    row = (doc, start, length, n, sequence, offset, ids[4 * start : 4 * (start + length)])
-                    for name, value in zip(columns, row):
-                        columns[name].append(value)
-            yield columns
+            n, part, local = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("n_tokens", "part", "local"))
+            before = np.fromiter(map(offsets.__getitem__, part.tolist()), np.int64, len(part))
+            doc, start, length, sequence, offset = cuts(n, before + local, window)
+            ids = batch.column("ids").to_pylist()
+            low, high = (4 * start).tolist(), (4 * (start + length)).tolist()
+            yield {
+                "doc_id": batch.column("doc_id").take(pa.array(doc)), "start": start, "length": length, "doc_tokens": n[doc],
+                "sequence_id": sequence, "offset": offset, "ids": [ids[d][a:b] for d, a, b in zip(doc.tolist(), low, high)],
+            }
 
     return map_arrow(tokens, work, PIECES)
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -22,6 +21,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Texts to little-endian 32-bit ids.
 
@@ -46,7 +49,7 @@ class WordEncoder:
         found = self.parts.get(word)
         if found is None:
             shown = word.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            found = self.parts[word] = packed([t.id for t in self.model.tokenize(shown)])
         return found
 
     def _learn(self, pieces: set[str]) -> None:
@@ -62,7 +65,7 @@ class WordEncoder:
             else:
                 other.append(piece)
         for piece, got in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self.pieces[piece] = np.array(got.ids, "<u4").tobytes()
+            self.pieces[piece] = packed(got.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, block, size = [], [], 0

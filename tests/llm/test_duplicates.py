@@ -216,3 +216,22 @@ def test_blocks_of_a_hot_bucket_give_the_same(spark, monkeypatch):
     rows = [(i, [float(x) for x in np.ones(8) + state.standard_normal(8) * 0.01]) for i in range(100)]
     found = embeddings.similar_vectors(spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>")).collect()
     assert {(r["n_links"], r["component_id"]) for r in found} == {(99, 0)}
+
+
+def test_vectors_of_several_lengths(spark):
+    """Each length is compared within itself; the rare length loses no link."""
+    random = np.random.default_rng(3)
+    rows = []
+    for n, size in ((30, 8), (6, 3), (1, 5)):
+        base = random.normal(size=(n, size))
+        for v in np.concatenate([base, base + 0.01 * random.normal(size=base.shape)]) if n > 1 else base:
+            rows.append((len(rows), [float(x) for x in v]))
+    found = {r["vec_id"]: r for r in embeddings.similar_vectors(spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>")).collect()}
+    groups, links = Groups(), Counter()
+    for i, x in rows:
+        for j, y in rows[:i]:
+            if len(x) == len(y) and np.dot(x, y) >= 0.95 * np.linalg.norm(x) * np.linalg.norm(y):
+                groups.join(i, j)
+                links.update((i, j))
+    assert {i: (r["n_links"], r["component_id"]) for i, r in found.items()} == {i: (links[i], groups.find(i)) for i, _ in rows}
+    assert links[60] and links[66]

@@ -168,6 +168,8 @@ PAGES = [
     (6, "http://d.example.edu", "<META http-equiv='refresh' content='0; url=/moved'>"), (7, "http://d.example.edu/moved", '<link rel=canonical href="http://e.example.org/fr/1">'),
     (8, "http://e.example.org/fr/1", '<link rel=canonical href="//b.example.com/de/10">'), (9, None, None), (10, "no scheme", "<p>"), (11, "http://net", None),
     (12, "http://net/", None), (13, "http://planet/", None), (13, "http://planet/", None), (None, "http://b.example.com/de/10", None), (14, "http:///de/", None),
+    (15, "http://m.example.edu/q", '<link rel="canonical" href="http://n.example.edu/"><LINK  href = "https://b.example.com/de/9"  REL = " canonical" >'),
+    (16, "http://o.example.edu/", "<meta http-equiv=refresh content='0; url=/p'><meta content='1; URL = https://b.example.com/de/11' http-equiv = refresh>"),
 ]
 
 
@@ -176,11 +178,14 @@ def test_url_rules(spark):
     found = url_filters.judge(pages, url_filters.rule_frame(spark))
     verdicts = {r["page_id"]: (r["rule"], r["verdict"]) for r in found.collect()}
     assert verdicts[1] == ("example.net/en/", "allow") and verdicts[2] == ("net/", "block") and verdicts[3] == ("example.com/de/", "block")
-    assert verdicts[4] == (None, "block") and verdicts[5] == (None, "block")  # an alias of a blocked page, and its canonical form
+    assert verdicts[4] == (None, "block") and verdicts[5] == (None, "allow")  # an alias of a blocked page; no link says that 5 is one
+    assert verdicts[15] == (None, "block") and verdicts[16] == (None, "allow")  # every tag of a page counts
     assert verdicts[6] == (None, "allow") and verdicts[7] == (None, "allow")  # an allowed alias goes before a blocked one
     assert verdicts[8] == ("org/fr/", "allow") and verdicts[None] == ("example.com/de/", "block")
     assert verdicts[9] == verdicts[10] == verdicts[13] == verdicts[14] == (None, "allow")
-    assert verdicts[12] == ("net/", "block") and verdicts[11] == (None, "block")  # no path, so no rule, but an alias
+    assert verdicts[12] == ("net/", "block") and verdicts[11] == (None, "allow")  # no path, so no rule
+    formed = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, url_filters.rule_frame(spark), forms=True).collect()}
+    assert formed[5] == "block" and formed[11] == "block"  # aliases by their form, on request
     con = duckdb.connect()
     con.register("frame", pages.toPandas())
     con.execute("CREATE VIEW pages AS SELECT CAST(page_id AS BIGINT) AS page_id, url, html FROM frame")
