@@ -75,6 +75,17 @@ def release_memory() -> None:
         trim(0)
 
 
+_MEMO: dict = {}
+
+
+def memo(owner: str, make: Callable):
+    """What this process remembers for ``owner``. Workers serve stage after stage: an owner's first call drops what another left."""
+    if _MEMO.get("owner") != owner:
+        _MEMO.clear()
+        _MEMO.update(owner=owner, value=make())
+    return _MEMO["value"]
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one where the frame has such a column."""
     taken = {c.lower() for c in df.columns}

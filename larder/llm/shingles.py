@@ -5,23 +5,23 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from larder.llm.common import mix
+from larder.llm.common import memo, mix
 
 #: Distinct words that a worker remembers; a speed setting, results do not depend on it.
 REMEMBERED = 150_000
-_WORDS: dict[bytes, int] = {}
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts (A-Z lower-cased, split at ASCII white space), and the number of words of each text."""
     words = [t.encode().lower().split() for t in texts]
-    if len(_WORDS) > REMEMBERED:
-        _WORDS.clear()
+    known: dict[bytes, int] = memo("shingles", dict)
+    if len(known) > REMEMBERED:
+        known.clear()
     digest = xxhash.xxh3_64_intdigest
-    for word in set().union(*words) - _WORDS.keys():
-        _WORDS[word] = digest(word)
+    for word in set().union(*words) - known.keys():
+        known[word] = digest(word)
     counts = np.fromiter(map(len, words), np.int64, len(words))
-    get = _WORDS.__getitem__
+    get = known.__getitem__
     return np.fromiter((h for text in words for h in map(get, text)), np.uint64, int(counts.sum())), counts
 
 

@@ -6,6 +6,8 @@ import string
 
 import numpy as np
 
+from larder.llm.common import memo
+
 #: Distinct words that a worker remembers; a speed setting, results do not depend on it.
 REMEMBERED = 150_000
 _EDGES = string.punctuation + "«»¿¡…“”„’"
@@ -89,12 +91,10 @@ class WordTable:
         return np.fromiter((r for text in words for r in map(get, text)), np.int32, int(counts.sum())), counts
 
 
-_SLOT: dict = {}
-
-
 def table_of(model, embed, width: int) -> WordTable:
     """The word table of this process for ``model``; one model's table at a time is kept, as workers serve stage after stage."""
-    if _SLOT.get("model") is not model:
-        _SLOT.clear()
-        _SLOT.update(model=model, table=WordTable(embed, width))
-    return _SLOT["table"]
+    slot = memo("word table", dict)
+    if slot.get("model") is not model:
+        slot.clear()
+        slot.update(model=model, table=WordTable(embed, width))
+    return slot["table"]

@@ -6,6 +6,8 @@ import os
 import re
 import struct
 
+from larder.llm.common import memo
+
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Distinct pieces that a worker remembers; a speed setting, results do not depend on it.
@@ -83,14 +85,9 @@ class WordEncoder:
         return [b"".join(map(get, pieces)) for pieces in block]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The encoder of this process; workers are reused between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return memo(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
