@@ -179,7 +179,7 @@ def test_url_rules(spark):
     verdicts = {r["page_id"]: (r["rule"], r["verdict"]) for r in found.collect()}
     assert verdicts[1] == ("example.net/en/", "allow") and verdicts[2] == ("net/", "block") and verdicts[3] == ("example.com/de/", "block")
     assert verdicts[4] == (None, "block") and verdicts[5] == (None, "allow")  # an alias of a blocked page; no link says that 5 is one
-    assert verdicts[15] == (None, "block") and verdicts[16] == (None, "allow")  # every tag of a page counts
+    assert verdicts[15] == verdicts[16] == (None, "block")  # every tag of a page counts
     assert verdicts[6] == (None, "allow") and verdicts[7] == (None, "allow")  # an allowed alias goes before a blocked one
     assert verdicts[8] == ("org/fr/", "allow") and verdicts[None] == ("example.com/de/", "block")
     assert verdicts[9] == verdicts[10] == verdicts[13] == verdicts[14] == (None, "allow")
