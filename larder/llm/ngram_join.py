@@ -2,8 +2,10 @@
 
 1. Documents with equal n-gram sets form a class; only class representatives (smallest id) are compared.
 2. First product: classes whose smallest n-gram agrees, under one of ``ORDERS`` hash orders, lie in one bucket. Buckets are cut
-   into blocks of about ``BLOCK`` rows, and every pair of blocks multiplies the incidence matrix of its rows with its
-   transpose. Only a spanning forest of the links found leaves a task. This settles all pairs of a bucket, of any size.
+   into blocks of about ``BLOCK`` rows, large ones by bands of sizes first, and each block multiplies the incidence matrix of
+   its rows with its transpose. Only a spanning forest of the links found leaves a task. Then blocks of a bucket are
+   multiplied with each other, but for those whose rows are one group by now and those whose sizes differ too much to be
+   similar. This settles all pairs of a bucket, of any size.
 3. Second product, complete: two sets can only be similar enough if they share an n-gram among the first few of each in
    one global order (frequent n-grams last, then by hash). Blocks of n-grams accumulate how many of these each pair of rows
    shares that lies in different groups and was in no common bucket; pairs whose count cannot reach the bound that
@@ -110,8 +112,11 @@ def find(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links within a block: its incidence matrix, column block by column block, times its transpose."""
+def block_links(sets: list[np.ndarray], percent: int, left=0) -> list[tuple[int, int]]:
+    """Spanning forest of the links within a block: its incidence matrix, column block by column block, times its transpose.
+
+    With ``left``, links between the first ``left`` rows and the others.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     row = np.repeat(np.arange(len(sets)), sizes)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
@@ -119,56 +124,103 @@ def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     number = np.cumsum(shared) - 1
     keep = shared[column]
     row, column = row[keep], number[column[keep]]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    end = left or len(sets)
+    overlap = np.zeros((end, len(sets) - left), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for start in range(0, int(shared.sum()), COLUMNS):
         a, b = np.searchsorted(column, (start, start + COLUMNS))
-        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - start)), np.float32)
         block[row[a:b], column[a:b] - start] = 1
-        overlap += block @ block.T
-    near = np.triu(overlap >= needed_overlap(sizes[:, None], sizes[None, :], percent), 1)
+        overlap += block[:end] @ block[left:].T
+    near = overlap >= needed_overlap(sizes[:end, None], sizes[None, left:], percent)
     parent, forest = np.arange(len(sets)), []
-    for i, j in zip(*np.nonzero(near)):
-        a, b = find(parent, int(i)), find(parent, int(j))
+    for i, j in zip(*np.nonzero(near if left else np.triu(near, 1))):
+        i, j = int(i), int(j) + left
+        a, b = find(parent, i), find(parent, j)
         if a != b:
             parent[max(a, b)] = min(a, b)
-            forest.append((int(i), int(j)))
+            forest.append((i, j))
     return forest
 
 
-def first_product(docs: DataFrame, classes: DataFrame, size: int, percent: int, by_digest: bool) -> DataFrame:
-    """Links (a, b) between the nodes of classes that share a smallest n-gram."""
-    rows = classes.select("node", "rep", F.posexplode("firsts").alias("order", "first"))
-    buckets = rows.groupBy("order", "first").agg(F.count("*").alias("rows")).where("rows > 1")
-    placed = rows.join(buckets, ["order", "first"]).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    block = F.least("own", "other") * (1 << 31) + F.greatest("own", "other")
-    placed = settle(placed.select("order", "first", block.alias("block"), "node", "rep"), "placed")
-    sets = some_sets(docs, placed.select("rep").distinct(), size, by_digest)
-    rows = placed.join(sets, "node").select(F.xxhash64("order", "first").alias("first"), "block", "node", "values")
-    rows = rows.repartition(partitions(docs.sparkSession), "first", "block").sortWithinPartitions("first", "block", "node")
+def buckets(classes: DataFrame, percent: int) -> DataFrame:
+    """(order, first, rows, band, node, rep): classes that share a smallest n-gram, by bucket.
+
+    Of buckets with equal nodes one stays. In buckets beyond ``BLOCK`` rows, sets similar enough lie in the same or in neighbouring bands of sizes.
+    """
+    rows = classes.select("node", "rep", "n", F.posexplode("firsts").alias("order", "first"))
+    nodes = [F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("mixed"), F.min("node").alias("least"), F.max("node").alias("most")]
+    found = rows.groupBy("order", "first").agg(*nodes).where("rows > 1")
+    found = found.groupBy("rows", "mixed", "least", "most").agg(F.min(F.struct("order", "first")).alias("at")).select("at.order", "at.first", "rows")
+    width = np.log(100 / percent) + 1e-9
+    band = F.when(F.col("rows") > BLOCK, F.floor(F.log("n") / float(width))).otherwise(F.lit(0).cast("long"))
+    return rows.join(found, ["order", "first"]).select("order", "first", "rows", band.alias("band"), "node", "rep")
+
+
+def block_product(docs: DataFrame, rows: DataFrame, size: int, percent: int, by_digest: bool) -> DataFrame:
+    """Links (a, b) within each block of ``rows`` (block, side, node, rep); where a block has two sides, those between them."""
+    sets = some_sets(docs, rows.select("rep").distinct(), size, by_digest)
+    rows = rows.join(sets, "node").select("block", "side", "node", "values")
+    rows = rows.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "side", "node")
 
     def work(batches):
-        key, nodes, sets = None, [], []
+        key, nodes, sets, sides = None, [], [], []
 
         def links():
-            found = block_links(sets, percent) if len(sets) > 1 else []
+            left = sides.count(0) if sides and sides[-1] else 0
+            found = block_links(sets, percent, left) if len(sets) > 1 else []
             return {"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}
 
         for batch in batches:
-            for first, block, node, values in zip(*(c.to_pylist() for c in batch.columns)):
-                if (first, block) != key:
+            for block, side, node, values in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != key:
                     yield links()
-                    key, nodes, sets = (first, block), [], []
+                    key, nodes, sets, sides = block, [], [], []
                 if not nodes or nodes[-1] != node:
                     nodes.append(node)
                     sets.append(np.frombuffer(values, np.uint64))
+                    sides.append(side)
         yield links()
 
     return settle(map_arrow(rows, work, "a LONG, b LONG"), "links")
 
 
+def first_product(docs: DataFrame, placed: DataFrame, size: int, percent: int, by_digest: bool) -> DataFrame:
+    """Links (a, b) within blocks of about ``BLOCK`` rows of one bucket and band; each row lies in one block of each of its buckets."""
+    bands = placed.groupBy("order", "first", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    rows = placed.join(bands, ["order", "first", "band"])
+    block = F.xxhash64("order", "first", "band", F.pmod(F.xxhash64("node", "order"), F.col("blocks")))
+    rows = settle(rows.select(block.alias("block"), F.lit(0).alias("side"), "node", "rep"), "blocks")
+    return block_product(docs, rows, size, percent, by_digest)
+
+
+def across_blocks(docs: DataFrame, placed: DataFrame, groups: DataFrame, size: int, percent: int, by_digest: bool) -> DataFrame | None:
+    """Links (a, b) between the blocks of a bucket, for rows still in different groups; None where no bucket needs it.
+
+    Rows of a group that fills blocks of a band get blocks of their own, which need not meet each other; bands further apart than one never meet.
+    """
+    at = ["order", "first", "band"]
+    hot = placed.where(F.col("rows") > BLOCK).join(groups, "node", "left")
+    hot = settle(hot.select(*at, "node", "rep", F.coalesce("component", "node").alias("group")), "hot")
+    large = F.col("count") >= BLOCK
+    kinds = hot.groupBy(*at, "group").count().select(*at, "group", large.alias("pure"), F.when(large, F.col("group")).otherwise(0).alias("kind"))
+    rows = hot.join(kinds, [*at, "group"])
+    cells = rows.groupBy(*at, "pure", "kind").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    one = cells.select(*at, "pure", "kind", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
+    one = one.select(*at, "pure", "kind", F.xxhash64(*at, "pure", "kind", "k").alias("id"))
+    other = one.select("order", "first", F.col("band").alias("own"), *(F.col(c).alias(f"other_{c}") for c in ("pure", "kind", "id")))
+    other = other.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    meet = one.join(other, at).where("(own > band OR id <= other_id) AND NOT (pure AND other_pure AND kind = other_kind)")
+    meet = settle(meet.select(F.xxhash64("id", "other_id").alias("block"), "id", "other_id"), "meetings")
+    if meet.isEmpty():
+        return None
+    sides = meet.select("block", "id", F.lit(0).alias("side")).union(meet.where("id <> other_id").select("block", "other_id", F.lit(1)))
+    rows = rows.join(cells, [*at, "pure", "kind"])
+    rows = rows.select(F.xxhash64(*at, "pure", "kind", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("id"), "node", "rep")
+    return block_product(docs, settle(rows.join(sides, "id").select("block", "side", "node", "rep"), "sides"), size, percent, by_digest)
+
+
 def prefix_entries(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
     """(gram, digest, n): the first n-grams of each distinct set of a batch in the global order."""
 
@@ -291,13 +343,18 @@ def labelled(df: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n, digest, group, component) per row; ``group`` is one value for each group of similar sets, null for an empty set."""
     docs = df.select(F.col("doc_id").cast("long"), "text")
     low = settle(scan(docs, size, percent), "sets")
-    classes = low.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("firsts").alias("firsts"))
+    classes = low.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("firsts").alias("firsts"), F.first("n").alias("n"))
     classes = settle(classes, "classes")
     # Where an id stands on rows with different texts it may represent several classes, which are then told apart by digest.
     by_digest = classes.groupBy("rep").count().where("count > 1").limit(1).count() > 0
     classes = classes.withColumn("node", F.col("digest" if by_digest else "rep"))
-    links = first_product(docs, classes, size, percent, by_digest)
+    placed = settle(buckets(classes, percent), "placed")
+    links = first_product(docs, placed, size, percent, by_digest)
     groups = settle(connected_components(links), "groups")
+    across = across_blocks(docs, placed, groups, size, percent, by_digest)
+    if across is not None:
+        links = links.union(across)
+        groups = settle(connected_components(links), "groups")
     more = second_product(docs, low, classes, groups, size, percent, by_digest)
     final = settle(connected_components(links.union(more)), "groups")
     named = classes.join(final, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("group"))
