@@ -76,6 +76,17 @@ def test_jaccard_blocks_of_one_bucket_meet(spark, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in found} == brute_groups(texts, 4, 85)
 
 
+def test_links_between_two_sides():
+    """With two sides, links between them join the same rows as brute force does; pairs of one side are left alone."""
+    sets = [np.unique(np.array(x, np.uint64)) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [9], [1, 2, 3, 4, 6], [9], [20, 21])]
+    groups = Groups()
+    for i, j in ngram_join.block_links(sets, 60, left=3):
+        assert i < 3 <= j
+        groups.join(i, j)
+    assert [groups.find(i) for i in range(6)] == [0, 0, 2, 0, 2, 5]
+    assert ngram_join.block_links(sets[:2], 60) == [(0, 1)] and ngram_join.block_links(sets[4:], 60) == []
+
+
 def test_jaccard_sf(documents):
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     assert {r[0]: tuple(r[1:]) for r in ngram_join.jaccard_components(documents).collect()} == brute_groups(texts, 4, 85)
