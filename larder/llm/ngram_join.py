@@ -2,16 +2,20 @@
 
 1. Documents with equal n-gram sets form a class; only class representatives (smallest id) are compared.
 2. First product: classes whose smallest n-gram agrees, under one of ``ORDERS`` hash orders, lie in one bucket. Buckets are cut
-   into blocks of about ``BLOCK`` rows, large ones by bands of sizes first, and each block multiplies the incidence matrix of
-   its rows with its transpose. Only a spanning forest of the links found leaves a task. Then blocks of a bucket are
+   into blocks of about ``BLOCK`` rows, large ones by bands of sizes first; rows whose sketches rule out all others of their block
+   leave it, and each block multiplies the incidence matrix of its rows with its transpose. Only a spanning forest of the links found leaves a task. Then blocks of a bucket are
    multiplied with each other, but for those whose rows are one group by now and those whose sizes differ too much to be
    similar. This settles all pairs of a bucket, of any size.
 3. Second product, complete: two sets can only be similar enough if they share an n-gram among the first few of each in
-   one global order (frequent n-grams last, then by hash). Blocks of n-grams accumulate how many of these each pair of rows
-   shares that lies in different groups and was in no common bucket; pairs whose count cannot reach the bound that
-   follows from their sizes are discarded; the others are intersected exactly.
+   one global order (frequent n-grams last, then by hash). Only pairs of rows in different groups and no common bucket matter.
+   N-grams of at most ``SHORT`` sets accumulate how many of them each pair shares, and pairs whose count cannot reach the
+   bound that follows from their sizes are discarded; longer lists pass the pairs that their sketches cannot rule out, whatever they
+   share elsewhere. What is left is intersected exactly.
 4. Links of both products go through connected components.
 
+A sketch is the parity of a set's n-grams per bucket of a hash. Where two sketches differ the sets differ, each difference in one bucket,
+so their intersection is at most half of what their sizes exceed the number of differing buckets by: no similar pair is ruled out.
+
 Frequent n-grams are counted over all documents; at most ``MOST_FREQUENT`` are broadcast (the limit rises with the data, and
 the order may be any order, so this never changes a result).
 
@@ -40,6 +44,8 @@ ORDERS = 3
 MOST_FREQUENT = 1 << 20
 FREQUENT = 64
 COLUMNS = 4096
+SHORT = 4
+SKETCH = 64  # bytes at least; larger for sets of more than 16 n-grams a byte
 
 
 def prefix_length(n, percent):
@@ -71,12 +77,55 @@ def smallest(values: np.ndarray) -> list[int]:
     return [int(_signed(values[:1])[0]), *(int(_signed(mix(values ^ seed).min(keepdims=True))[0]) for seed in seeds)]
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """Parity of the n-grams in each bucket; as many buckets as half the set at least, a power of two."""
+    buckets = 8 * SKETCH
+    while 2 * buckets < len(values):
+        buckets *= 2
+    at = (values & np.uint64(buckets - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=buckets) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of rows; ``possible`` tells which pairs of rows they leave. Longer ones are folded to the shorter one's length."""
+
+    def __init__(self, blobs: list[bytes], sizes: np.ndarray, percent: int):
+        self.blobs, self.sizes, self.percent = blobs, sizes, percent
+        self.bytes = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of the table of each row, sketches folded to ``size`` bytes) of all rows with sketches as long or longer."""
+        if size not in self.tables:
+            place, parts, first = np.zeros(len(self.blobs), np.int64), [], 0
+            for long in np.unique(self.bytes[self.bytes >= size]).tolist():
+                rows = np.flatnonzero(self.bytes == long)
+                whole = np.frombuffer(b"".join([self.blobs[i] for i in rows.tolist()]), np.uint64)
+                parts.append(np.bitwise_xor.reduce(whole.reshape(len(rows), long // size, size // 8), axis=1))
+                place[rows] = np.arange(first, first + len(rows))
+                first += len(rows)
+            self.tables[size] = place, np.concatenate(parts)
+        return self.tables[size]
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        total = self.sizes[i] + self.sizes[j]
+        # At most so many n-grams stand in one set alone.
+        most = total - 2 * needed_overlap(self.sizes[i], self.sizes[j], self.percent)
+        out, shorter = most >= np.abs(self.sizes[i] - self.sizes[j]), np.minimum(self.bytes[i], self.bytes[j])
+        for size in np.unique(shorter[out]).tolist():
+            place, table = self.table(size)
+            for at in np.array_split(mine := np.flatnonzero(out & (shorter == size)), 1 + len(mine) * size // (1 << 24)):
+                differing = np.bitwise_count(table[place[i[at]]] ^ table[place[j[at]]]).sum(axis=1, dtype=np.int64)
+                out[at] = differing <= most[at]
+        return out
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
 def scan(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, firsts, low) per row: set size, digest, smallest n-grams, and the first n-grams by hash."""
+    """(doc_id, n, digest, firsts, low, sketch) per row: set size, digest, smallest n-grams, the first n-grams by hash, sketch."""
 
     def work(batches):
         for batch in (piece for whole in batches for piece in pieces(whole)):
@@ -85,9 +134,10 @@ def scan(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 "doc_id": batch.column("doc_id"), "n": [len(s) for s in sets], "digest": [digest_of(s) for s in sets],
                 "firsts": [smallest(s) if len(s) else [] for s in sets],
                 "low": [_signed(s[: prefix_length(len(s), percent)]) if len(s) else [] for s in sets],
+                "sketch": list(map(sketch, sets)),
             }
 
-    return map_arrow(docs, work, "doc_id LONG, n LONG, digest LONG, firsts ARRAY<LONG>, low ARRAY<LONG>")
+    return map_arrow(docs, work, "doc_id LONG, n LONG, digest LONG, firsts ARRAY<LONG>, low ARRAY<LONG>, sketch BINARY")
 
 
 def some_sets(docs: DataFrame, wanted: DataFrame, size: int, by_digest: bool) -> DataFrame:
@@ -158,8 +208,41 @@ def buckets(classes: DataFrame, percent: int) -> DataFrame:
     return rows.join(found, ["order", "first"]).select("order", "first", "rows", band.alias("band"), "node", "rep")
 
 
-def block_product(docs: DataFrame, rows: DataFrame, size: int, percent: int, by_digest: bool) -> DataFrame:
+def promising(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The rows (block, side, node, rep) that some other row of their block, on the other side if it has two, may be similar to."""
+    names = ("block", "side", "node", "rep")
+    rows = rows.join(classes.select("node", "n", "sketch"), "node").select(*names, "n", "sketch")
+    rows = rows.repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block", "side", "node")
+
+    def work(batches):
+        key, block = None, []
+
+        def kept():
+            sides, nodes, sizes, sketches = ([r[k] for r in block] for k in (1, 2, 4, 5))
+            left = sides.count(0) if sides and sides[-1] else 0
+            found = Sketches(sketches, np.array(sizes, np.int64), percent)
+            i, j = np.indices((left, len(block) - left)).reshape(2, -1) if left else np.triu_indices(len(block), 1)
+            j = j + left
+            near = found.possible(i, j) & (np.array(nodes, np.int64)[i] != np.array(nodes, np.int64)[j])
+            mine = np.unique(np.concatenate([i[near], j[near]])).tolist()
+            return {name: [block[k][c] for k in mine] for c, name in enumerate(names)}
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != key:
+                    if len(block) > 1:
+                        yield kept()
+                    key, block = row[0], []
+                block.append(row)
+        if len(block) > 1:
+            yield kept()
+
+    return settle(map_arrow(rows, work, "block LONG, side INT, node LONG, rep LONG"), "promising")
+
+
+def block_product(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int, by_digest: bool) -> DataFrame:
     """Links (a, b) within each block of ``rows`` (block, side, node, rep); where a block has two sides, those between them."""
+    rows = promising(rows, classes, percent)
     sets = some_sets(docs, rows.select("rep").distinct(), size, by_digest)
     rows = rows.join(sets, "node").select("block", "side", "node", "values")
     rows = rows.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "side", "node")
@@ -186,16 +269,16 @@ def block_product(docs: DataFrame, rows: DataFrame, size: int, percent: int, by_
     return settle(map_arrow(rows, work, "a LONG, b LONG"), "links")
 
 
-def first_product(docs: DataFrame, placed: DataFrame, size: int, percent: int, by_digest: bool) -> DataFrame:
+def first_product(docs: DataFrame, placed: DataFrame, classes: DataFrame, size: int, percent: int, by_digest: bool) -> DataFrame:
     """Links (a, b) within blocks of about ``BLOCK`` rows of one bucket and band; each row lies in one block of each of its buckets."""
     bands = placed.groupBy("order", "first", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     rows = placed.join(bands, ["order", "first", "band"])
     block = F.xxhash64("order", "first", "band", F.pmod(F.xxhash64("node", "order"), F.col("blocks")))
     rows = settle(rows.select(block.alias("block"), F.lit(0).alias("side"), "node", "rep"), "blocks")
-    return block_product(docs, rows, size, percent, by_digest)
+    return block_product(docs, rows, classes, size, percent, by_digest)
 
 
-def across_blocks(docs: DataFrame, placed: DataFrame, groups: DataFrame, size: int, percent: int, by_digest: bool) -> DataFrame | None:
+def across_blocks(docs: DataFrame, placed: DataFrame, groups: DataFrame, classes: DataFrame, size: int, percent: int, by_digest: bool) -> DataFrame | None:
     """Links (a, b) between the blocks of a bucket, for rows still in different groups; None where no bucket needs it.
 
     Rows of a group that fills blocks of a band get blocks of their own, which need not meet each other; bands further apart than one never meet.
@@ -218,7 +301,7 @@ def across_blocks(docs: DataFrame, placed: DataFrame, groups: DataFrame, size: i
     sides = meet.select("block", "id", F.lit(0).alias("side")).union(meet.where("id <> other_id").select("block", "other_id", F.lit(1)))
     rows = rows.join(cells, [*at, "pure", "kind"])
     rows = rows.select(F.xxhash64(*at, "pure", "kind", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("id"), "node", "rep")
-    return block_product(docs, settle(rows.join(sides, "id").select("block", "side", "node", "rep"), "sides"), size, percent, by_digest)
+    return block_product(docs, settle(rows.join(sides, "id").select("block", "side", "node", "rep"), "sides"), classes, size, percent, by_digest)
 
 
 def prefix_entries(docs: DataFrame, frequent, size: int, percent: int) -> DataFrame:
@@ -248,7 +331,7 @@ def _columns(batches, names):
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
-    """Entries whose n-gram lies in at least two different sets."""
+    """(gram, digest, n, sets): entries whose n-gram lies in at least two different sets, with their number."""
 
     def work(batches):
         gram, digest, n = _columns(batches, "gdn")
@@ -256,21 +339,30 @@ def shared_entries(entries: DataFrame) -> DataFrame:
         gram, digest, n = gram[order], digest[order], n[order]
         new = np.append(True, (gram[1:] != gram[:-1]) | (digest[1:] != digest[:-1])) if len(gram) else np.zeros(0, bool)
         gram, digest, n = gram[new], digest[new], n[new]
-        same = gram[1:] == gram[:-1]
-        keep = np.append(False, same) | np.append(same, False) if len(gram) else new
-        yield {"gram": gram[keep], "digest": digest[keep], "n": n[keep]}
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        number = np.diff(np.append(starts, len(gram)))
+        sets = np.repeat(number, number)
+        keep = sets > 1
+        yield {"gram": gram[keep], "digest": digest[keep], "n": n[keep], "sets": sets[keep]}
 
-    return map_arrow(entries.repartition(partitions(entries.sparkSession), "gram"), work, "gram LONG, digest LONG, n LONG")
+    return map_arrow(entries.repartition(partitions(entries.sparkSession), "gram"), work, "gram LONG, digest LONG, n LONG, sets LONG")
 
 
 def partial_counts(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb, c): pairs not compared yet in a block of n-grams, and how many of these n-grams they share."""
+    """(a, b, na, nb, c): pairs not compared yet in a block of n-grams, and how many of these n-grams they share.
+
+    Rows of long lists come with their sketches; a pair that these leave counts as sharing all, so it reaches any bound.
+    """
 
     def work(batches):
+        batches = [b for b in batches if b.num_rows]
         gram, rep, group, n, *firsts = _columns(batches, range(4 + ORDERS))
         order = np.lexsort((rep, n, gram))
         gram, rep, group, n = gram[order], rep[order], group[order], n[order]
         firsts = np.stack([f[order] for f in firsts])
+        blobs = [x or b"" for b in batches for x in b.column("sketch").to_pylist()]
+        sketches = Sketches([blobs[i] for i in order.tolist()], n, percent)
+        del blobs
         starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
         end = np.repeat(np.append(starts[1:], len(gram)), np.diff(np.append(starts, len(gram)))) if len(gram) else starts
         # Within an n-gram rows are ordered by size: partners of i are those up to the largest size that can be similar.
@@ -288,22 +380,36 @@ def partial_counts(entries: DataFrame, percent: int) -> DataFrame:
             i, j = at, at + step
             apart = (group[i] != group[j]) & (firsts[:, i] != firsts[:, j]).all(axis=0)
             i, j = i[apart], j[apart]
+            known = sketches.bytes[i] > 0  # a whole list has sketches or none has
+            left = ~known
+            left[known] = sketches.possible(i[known], j[known])
+            i, j, known = i[left], j[left], known[left]
             swap = rep[i] > rep[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            found.append(np.stack([rep[i], rep[j], n[i], n[j]], 1))
+            found.append(np.stack([rep[i], rep[j], n[i], n[j], np.where(known, np.minimum(n[i], n[j]), 1)], 1))
             if sum(map(len, found)) > 500_000:
-                yield _counted(found)
-                found = []
-        yield _counted(found)
+                found = [_counted(found)]
+                if len(found[0]) > 250_000:
+                    yield _named(found.pop())
+        yield _named(_counted(found))
 
     rows = entries.repartition(partitions(entries.sparkSession), "gram")
     return map_arrow(rows, work, "a LONG, b LONG, na LONG, nb LONG, c LONG")
 
 
 def _counted(found):
-    pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-    pairs, counts = np.unique(pairs, axis=0, return_counts=True)
-    return {"a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2], "nb": pairs[:, 3], "c": counts}
+    """Rows (a, b, na, nb, c) with the counts of equal pairs added."""
+    pairs = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    starts = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1))) if len(pairs) else np.zeros(0, np.int64)
+    out = pairs[starts]
+    if len(starts):
+        out[:, 4] = np.add.reduceat(pairs[:, 4], starts)
+    return out
+
+
+def _named(pairs):
+    return {name: pairs[:, k] for k, name in enumerate(("a", "b", "na", "nb", "c"))}
 
 
 def second_product(docs, low, classes, groups, size, percent, by_digest) -> DataFrame:
@@ -315,8 +421,10 @@ def second_product(docs, low, classes, groups, size, percent, by_digest) -> Data
     often = grams.groupBy("gram").count().where(F.col("count") >= least).select("gram").toPandas()["gram"].to_numpy(np.int64)
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     entries = settle(shared_entries(prefix_entries(docs, frequent, size, percent)), "entries")
-    named = entries.join(classes.select("digest", "node", "firsts"), "digest").join(groups, "node", "left")
-    named = named.select("gram", "node", F.coalesce("component", "node").alias("group"), "n", *(F.col("firsts")[i].alias(f"first{i}") for i in range(ORDERS)))
+    grouped = classes.join(groups, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("group"), "firsts", "sketch")
+    named = entries.join(grouped, "digest").select(
+        "gram", "node", "group", "n", *(F.col("firsts")[i].alias(f"first{i}") for i in range(ORDERS)), F.when(F.col("sets") > SHORT, F.col("sketch")).alias("sketch")
+    )
     pairs = partial_counts(named, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     rest = lambda n: F.col(n) - (F.col(n) - F.ceil(F.col(n) * percent / 100) + 1)
     bound = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
@@ -343,15 +451,15 @@ def labelled(df: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n, digest, group, component) per row; ``group`` is one value for each group of similar sets, null for an empty set."""
     docs = df.select(F.col("doc_id").cast("long"), "text")
     low = settle(scan(docs, size, percent), "sets")
-    classes = low.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("firsts").alias("firsts"), F.first("n").alias("n"))
+    classes = low.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("firsts").alias("firsts"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = settle(classes, "classes")
     # Where an id stands on rows with different texts it may represent several classes, which are then told apart by digest.
     by_digest = classes.groupBy("rep").count().where("count > 1").limit(1).count() > 0
     classes = classes.withColumn("node", F.col("digest" if by_digest else "rep"))
     placed = settle(buckets(classes, percent), "placed")
-    links = first_product(docs, placed, size, percent, by_digest)
+    links = first_product(docs, placed, classes, size, percent, by_digest)
     groups = settle(connected_components(links), "groups")
-    across = across_blocks(docs, placed, groups, size, percent, by_digest)
+    across = across_blocks(docs, placed, groups, classes, size, percent, by_digest)
     if across is not None:
         links = links.union(across)
         groups = settle(connected_components(links), "groups")

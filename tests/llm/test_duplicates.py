@@ -87,6 +87,30 @@ def test_links_between_two_sides():
     assert ngram_join.block_links(sets[:2], 60) == [(0, 1)] and ngram_join.block_links(sets[4:], 60) == []
 
 
+def test_sketches_rule_out_no_similar_pair():
+    random = np.random.default_rng(5)
+    draw = lambda n: np.unique(random.integers(0, 1 << 63, n, dtype=np.uint64))
+    sets = []
+    for n in (1, 3, 40, 500, 1100, 3000, 9000):
+        whole = draw(n)
+        sets += [whole, whole[: max(1, n * 9 // 10)], np.unique(np.append(whole[n // 12 :], draw(max(1, n // 20)))), draw(n)]
+    sizes = np.array(list(map(len, sets)))
+    i, j = np.triu_indices(len(sets), 1)
+    near = ngram_join.Sketches(list(map(ngram_join.sketch, sets)), sizes, 85).possible(i, j)
+    similar = np.array([100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert similar.sum() > 9 and near[similar].all() and near.sum() <= similar.sum() + 8
+
+
+def test_a_long_list_passes_few_pairs(spark):
+    random = np.random.default_rng(6)
+    sets = [np.unique(np.append(random.integers(0, 1 << 63, 300, dtype=np.uint64), np.uint64(7))) for _ in range(200)]
+    sets.append(sets[0][1:])
+    rows = [(7, i, i, len(s), 3 * i, 3 * i + 1, 3 * i + 2, bytearray(ngram_join.sketch(s))) for i, s in enumerate(sets)]
+    entries = spark.createDataFrame(rows, "gram LONG, node LONG, group LONG, n LONG, f0 LONG, f1 LONG, f2 LONG, sketch BINARY")
+    found = [(r["a"], r["b"]) for r in ngram_join.partial_counts(entries, 85).collect()]
+    assert found == [(0, 200)]
+
+
 def test_jaccard_sf(documents):
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     assert {r[0]: tuple(r[1:]) for r in ngram_join.jaccard_components(documents).collect()} == brute_groups(texts, 4, 85)
