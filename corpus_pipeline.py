@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm import language_id, ngram_join, packing, suffix_dedup, toxicity
-from larder.llm.common import table
+from larder.llm.common import release_memory, table
 from larder.session import settle
 
 #: No SQL states the fitted stages; tests hold each stage against its operator and the whole against plain Python.
@@ -14,12 +14,15 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language."""
-    return language_id.keep_identified(docs, language_id.fit(language_id.training_rows(docs)))
+    model = language_id.fit(language_id.training_rows(docs))
+    release_memory()
+    return language_id.keep_identified(docs, model)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold; the labels of ``sf_dir`` train the model."""
     net = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    release_memory()
     return toxicity.keep_clean(docs, net)
 
 

@@ -27,6 +27,7 @@ BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 LEXICON = 1_000
 SEQUENCE, SEQUENCES, EPOCHS, BATCH, RATE = 40, 2_400, 3, 60, 0.3
+SLICE = 5_000  # distinct words whose n-grams are made at once; a setting of memory
 SEED = 11
 
 
@@ -101,7 +102,9 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
     """Train on (text, lang) rows by gradient steps on the likelihood of switching sequences."""
     random = np.random.default_rng(SEED)
     languages = sorted({lang for _, lang in rows})
-    pool = {lang: [w for w in (list(filter(None, map(normal, text.split()))) for text, x in rows if x == lang) if w] for lang in languages}
+    once: dict[str, str] = {}  # equal words are one object
+    plain = lambda text: [once.setdefault(w, w) for w in map(normal, text.split()) if w]
+    pool = {lang: [w for w in (plain(text) for text, x in rows if x == lang) if w] for lang in languages}
     pool = {lang: docs for lang, docs in pool.items() if docs}
     languages = sorted(pool)
     counts = [_counts(pool[lang]) for lang in languages]
@@ -112,12 +115,10 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
         return model
     words = sorted({w for docs in pool.values() for doc in docs for w in doc})
     number = {w: i for i, w in enumerate(words)}
-    coded = [[np.array([number[w] for w in doc]) for doc in pool[lang]] for lang in languages]
-    parts, whole, member = model.features(words)
-    grams = np.concatenate([b for b, _ in parts])
-    owners = np.concatenate([o for _, o in parts])
-    order = np.argsort(owners, kind="stable")
-    grams, starts = grams[order], np.append(0, np.cumsum(np.bincount(owners, minlength=len(words))))
+    coded = [[np.fromiter(map(number.__getitem__, doc), np.int32, len(doc)) for doc in pool[lang]] for lang in languages]
+    del pool, once, counts, number
+    grams, whole, member, sizes = (np.concatenate(x) for x in zip(*(_ordered_features(model, words[i : i + SLICE]) for i in range(0, len(words), SLICE))))
+    starts = np.append(0, np.cumsum(sizes))
     squares = [np.full_like(x, 1e-3) for x in (model.gram, model.word, model.lexical, model.transition)]
     for _ in range(EPOCHS):
         for _ in range(SEQUENCES // BATCH):
@@ -140,6 +141,14 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
     return model
 
 
+def _ordered_features(model, words):
+    """N-gram buckets word by word, whole-word buckets, lexicon membership, and the number of n-grams of each word."""
+    parts, whole, member = model.features(words)
+    owners = np.concatenate([o for _, o in parts])
+    grams = np.concatenate([b for b, _ in parts])[np.argsort(owners, kind="stable")]
+    return grams.astype(np.int32), whole, member, np.bincount(owners, minlength=len(words))
+
+
 def _counts(docs):
     out: dict[str, int] = {}
     for doc in docs:

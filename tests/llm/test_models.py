@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -49,6 +50,19 @@ def test_language_of_switching_words(spark):
     assert labels[:3] == ["en"] * 3 and labels[-3:] == ["fr"] * 3
 
 
+def test_language_fit_holds_one_copy_of_its_ngrams(monkeypatch):
+    monkeypatch.setattr(language_id, "EPOCHS", 0)
+    letters = np.random.default_rng(3).integers(97, 123, (60_000, 9)).astype(np.uint8)
+    words = [bytes(x).decode() for x in letters]
+    rows = [(" ".join(words[i : i + 500]), "ab"[i // 500 % 2]) for i in range(0, len(words), 500)]
+    tracemalloc.start()
+    try:
+        language_id.fit(rows)
+        assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_language_odd_rows(odd, empty):
     found = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.predictions(odd).collect()]
     assert len(found) == len(ROWS) and all(p == "und" and s == 0 for i, p, s in found if i in (1, 2, 9, 10)) and all(p != "und" for i, p, s in found if i in (3, 5, 8))
