@@ -136,6 +136,43 @@ def test_search_skips_blocks():
     assert found.tolist() == [0] and scores[0] == pytest.approx(5.1)
 
 
+@pytest.mark.parametrize("columns, repeats", [(0, 1), (7, 1), (7, 3), (1_024, 1)])
+def test_search_all_queries_at_once(monkeypatch, columns, repeats):
+    """Whole documents as queries of one index: lists, columns and both, against plain sums."""
+    monkeypatch.setattr(topk_search, "BLOCK", 4)
+    monkeypatch.setattr(topk_search, "COLUMNS", columns)
+    monkeypatch.setattr(topk_search, "TOGETHER", 5)
+    random = np.random.default_rng(3)
+    ids = np.repeat(np.arange(50), repeats)
+    bags = [np.unique(random.geometric(0.08, random.integers(1, 30)), return_counts=True) for _ in ids]
+    lengths = np.array([c.sum() for _, c in bags], float)
+    weight = dict(enumerate(random.random(400) + 0.1))
+    index = topk_search.Index(ids, lengths, [t for t, _ in bags], [c for _, c in bags], lengths.mean())
+    queries = [np.unique(random.geometric(0.08, n)) for n in (3, 25, 60, 1, 9, 14, 30)] + [np.array([399])]
+    row, found, scores = index.search_all(np.concatenate(queries), np.array([weight[t] for q in queries for t in q]), np.append(0, np.cumsum(list(map(len, queries)))), 10)
+    for i, query in enumerate(queries):
+        best = {}
+        for d, (terms, counts) in enumerate(bags):
+            norm = 1.2 * (0.25 + 0.75 * lengths[d] / lengths.mean())
+            score = sum(weight[t] * c * 2.2 / (c + norm) for t, c in zip(terms.tolist(), counts.tolist()) if t in query)
+            best[ids[d]] = max(best.get(ids[d], 0), score)
+        want = sorted((-round(s, 6), d) for d, s in best.items() if s > 0)[:10]
+        assert found[row == i].tolist() == [d for _, d in want] and np.allclose(scores[row == i], [-s for s, _ in want], atol=2e-6)
+
+
+def test_search_leaves_blocks_of_other_topics_unread():
+    ids = np.arange(1024)
+    random = np.random.default_rng(5)
+    # Two topics in turn, which no order by length or id parts; all words are frequent.
+    terms = [np.unique(random.integers(0, 40, 20)) + 1000 * (i % 2) for i in ids]
+    index = topk_search.Index(ids, np.full(1024, 20.0), terms, [np.ones(len(t), np.uint32) for t in terms], 20.0)
+    topic = index.ids.reshape(-1, topk_search.BLOCK) % 2
+    assert {tuple(np.unique(t)) for t in topic} == {(0,), (1,)}
+    index.table[topic[:, 0] == 1] = np.nan
+    found, scores = index.search(terms[10], np.ones(len(terms[10])), 10)
+    assert 10 in found and not (found % 2).any() and np.isfinite(scores).all()
+
+
 def test_search_odd_rows(odd, empty):
     found = topk_search.search(odd, odd).collect()
     assert {r["query_id"] for r in found} == {3, 4, 5, 6, 7, 8, 10}
